@@ -19,7 +19,7 @@ do not grow with the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,17 +29,25 @@ from revisit.functions.columns import ref
 
 @dataclass(frozen=True)
 class HotPolicy:
-    """When a key is hot, and how finely its rows are cut. ``chunks`` is a power of two."""
+    """When a key is hot, and how finely its rows are cut. ``chunks`` is a power of two.
+
+    ``decided`` is set inside a split: all rows are of ordinary keys, or all of hot ones.
+    """
 
     min_rows: int = 4_000_000
     max_keys: int = 4096
     chunks: int = 1024
+    decided: str | None = None
 
     def __post_init__(self) -> None:
         if self.chunks < 2 or self.chunks & (self.chunks - 1):
             raise ValueError("chunks must be a power of two, at least 2")
 
+    def for_other_keys(self) -> HotPolicy:
+        return replace(self, decided=None)
+
 
+ORDINARY, HOT = "ordinary", "hot"
 DEFAULT_POLICY = HotPolicy()
 
 
@@ -71,13 +79,32 @@ def by_heat(
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """``ordinary`` over the rows of ordinary keys, ``heavy`` over those of hot keys."""
+    roads = {ORDINARY: ordinary, HOT: heavy}
+    return split_by_heat(rows, keys, lambda part, known: roads[known.decided](part), policy)
+
+
+def split_by_heat(
+    rows: DataFrame,
+    keys: Sequence[str],
+    work: Callable[[DataFrame, HotPolicy], DataFrame],
+    policy: HotPolicy = DEFAULT_POLICY,
+) -> DataFrame:
+    """Split once, then run ``work(part, policy)`` on each part and union the results.
+
+    Operators called with the policy they are given here do not look for hot keys again, so a
+    chain of them shares one shuffle.
+    """
+    if policy.decided:
+        return work(rows, policy)
     hot = find_hot(rows, keys, policy)
     if hot is None:
-        return ordinary(rows)
+        return work(rows, replace(policy, decided=ORDINARY))
     few = F.broadcast(hot)  # at most max_keys rows
-    cold_rows = rows.join(few, list(keys), "left_anti")
-    hot_rows = rows.join(few, list(keys), "left_semi").select(rows.columns)
-    return ordinary(cold_rows.select(rows.columns)).unionByName(heavy(hot_rows))
+    cold_rows = rows.join(few, list(keys), "left_anti").select([ref(c) for c in rows.columns])
+    hot_rows = rows.join(few, list(keys), "left_semi").select([ref(c) for c in rows.columns])
+    return work(cold_rows, replace(policy, decided=ORDINARY)).unionByName(
+        work(hot_rows, replace(policy, decided=HOT))
+    )
 
 
 def into_chunks(

@@ -42,7 +42,10 @@ def event_ordinal(
 
     def heavy(part: DataFrame) -> DataFrame:
         places = _points(part, cols, 1, policy).select(cols.entity, cols.ts, "_before")
-        ranked = average_rank(part, [cols.entity, cols.ts], cols.event_id, "_place", policy=policy)
+        ranked = average_rank(
+            part, [cols.entity, cols.ts], cols.event_id, "_place",
+            policy=policy.for_other_keys(),
+        )
         return ranked.join(places, [cols.entity, cols.ts]).select(
             *[ref(c) for c in part.columns],
             (F.col("_before") + F.col("_place")).cast("bigint").alias(name),

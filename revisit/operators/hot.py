@@ -19,7 +19,7 @@ do not grow with the data.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,17 +38,20 @@ class HotPolicy:
     max_keys: int = 4096
     chunks: int = 1024
     decided: str | None = None
+    hot_keys: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.chunks < 2 or self.chunks & (self.chunks - 1):
             raise ValueError("chunks must be a power of two, at least 2")
 
     def for_other_keys(self) -> HotPolicy:
-        return replace(self, decided=None)
+        """The same policy for rows grouped by something else."""
+        return replace(self, decided=None, hot_keys=None)
 
 
 ORDINARY, HOT = "ordinary", "hot"
 DEFAULT_POLICY = HotPolicy()
+_BROADCAST_CELLS = 4_000_000
 
 
 def find_hot(rows: DataFrame, keys: Sequence[str], policy: HotPolicy = DEFAULT_POLICY):
@@ -103,10 +106,35 @@ def split_by_heat(
     cold_rows = rows.join(few, list(keys), "left_anti").select([ref(c) for c in rows.columns])
     hot_rows = rows.join(few, list(keys), "left_semi").select([ref(c) for c in rows.columns])
     return work(cold_rows, replace(policy, decided=ORDINARY)).unionByName(
-        work(hot_rows, replace(policy, decided=HOT))
+        work(hot_rows, replace(policy, decided=HOT, hot_keys=hot))
     )
 
 
+def join_per_key(
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: str,
+    policy: HotPolicy = DEFAULT_POLICY,
+    cells: int = 1,
+) -> DataFrame:
+    """Left join with a table that has one row per key.
+
+    For hot keys only their few rows of ``per_key`` are needed: those are broadcast, so hot rows
+    do not move. ``cells`` is the width of such a row; wide ones over the limit are left to a
+    sort-merge join, whose skewed partitions adaptive execution splits.
+    """
+
+    def work(part: DataFrame, known: HotPolicy) -> DataFrame:
+        other = per_key
+        if known.decided == HOT and known.hot_keys is not None:
+            other = per_key.join(F.broadcast(known.hot_keys), key, "left_semi")
+            if known.max_keys * cells <= _BROADCAST_CELLS:
+                other = F.broadcast(other)
+        return part.join(other, key, "left")
+
+    return split_by_heat(rows, [key], work, policy)
+
+
 def into_chunks(
     rows: DataFrame,
     bounds: DataFrame,

@@ -18,14 +18,30 @@ def ref(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def literal(value) -> str:
+    """An integer, boolean or string as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def named(expression: str, name: str) -> str:
+    return f"{expression} AS {quoted(name)}"
+
+
+def quoted_all(names: Iterable[str]) -> list[str]:
+    """Identifiers for ``selectExpr``: wide projections are cheaper to build as SQL text."""
+    return [quoted(n) for n in names]
+
+
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([ref(c).alias(prefix + c) for c in df.columns])
+    return df.toDF(*[prefix + c for c in df.columns])
 
 
 def with_suffix(df: DataFrame, suffix: str, columns: Iterable[str]) -> DataFrame:
     """Add ``suffix`` to the named columns, leave the others."""
-    named = set(columns)
-    return df.select([ref(c).alias(c + suffix) if c in named else ref(c) for c in df.columns])
+    chosen = set(columns)
+    return df.toDF(*[c + suffix if c in chosen else c for c in df.columns])
 
 
 def lower_names(df: DataFrame) -> DataFrame:

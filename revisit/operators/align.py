@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import ref
+from revisit.functions.columns import named, quoted, quoted_all, ref
 from revisit.schema import LABEL, NOT_FEATURES
 
 
@@ -20,13 +20,11 @@ def feature_columns(columns: Iterable[str], excluded: Iterable[str] = NOT_FEATUR
 def align(df: DataFrame, schema: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` as is, then exactly the fitted columns as doubles; missing and null become 0."""
     present = set(df.columns)
-    return df.select(
-        *[ref(c) for c in keep if c in present],
-        *[
-            (F.coalesce(ref(c).cast("double"), F.lit(0.0)) if c in present else F.lit(0.0)).alias(c)
-            for c in schema
-        ],
-    )
+    cells = [
+        named(f"coalesce(CAST({quoted(c)} AS DOUBLE), 0D)" if c in present else "0D", c)
+        for c in schema
+    ]
+    return df.selectExpr(*quoted_all(c for c in keep if c in present), *cells)
 
 
 def leftover_columns(df: DataFrame, schema: Sequence[str]) -> list[str]:

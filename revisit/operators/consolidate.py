@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import ref, with_prefix
+from revisit.functions.columns import quoted_all, ref, with_prefix
 from revisit.operators.client import client_features, one_row_per_key
 from revisit.operators.encode import count_encode
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, join_per_key
@@ -95,8 +95,7 @@ class Consolidation:
         clients = self.clients(tables)
         per_key = clients.withColumn(MASTER.entity, ref(CLIENT_KEY))
         joined = join_per_key(events, per_key, MASTER.entity, policy, len(clients.columns))
-        added = [c for c in clients.columns]
-        return joined.select(*[ref(c) for c in events.columns], *[ref(c) for c in added])
+        return joined.selectExpr(*quoted_all([*events.columns, *clients.columns]))
 
     def clients(self, tables: Mapping[str, DataFrame]) -> DataFrame:
         check_tables(tables)

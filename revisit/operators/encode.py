@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revisit.functions.columns import ref
+from revisit.functions.columns import literal, named, quoted, quoted_all, ref
 from revisit.operators.pivot import MAX_CATEGORIES, category_counts
 
 
 def one_hot(df: DataFrame, columns: Mapping[str, Sequence]) -> DataFrame:
     """Replace each column by 0/1 columns ``<column>_<value>``; null and unseen values are all 0."""
     flags = [
-        F.coalesce(ref(c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}_{v}")
+        named(f"CAST(coalesce({quoted(c)} = {literal(v)}, FALSE) AS INT)", f"{c}_{v}")
         for c, values in columns.items()
         for v in values
     ]
-    return df.select(*[ref(c) for c in df.columns if c not in columns], *flags)
+    return df.selectExpr(*quoted_all(c for c in df.columns if c not in columns), *flags)
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:

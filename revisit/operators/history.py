@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import columns_like, ref
+from revisit.functions.columns import columns_like, named, quoted, quoted_all, ref
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, join_per_key
 from revisit.schema import EventColumns
 
@@ -18,9 +18,8 @@ def first_seen(events: DataFrame, cols: EventColumns, columns: Sequence[str]) ->
     Only positive cells become rows, and they are reduced before the shuffle, so neither a wide
     vocabulary nor a long history is sorted or collected.
     """
-    places = F.array_compact(
-        F.array(*[F.when(ref(c) > 0, F.lit(i)) for i, c in enumerate(columns)])
-    )
+    cells = ", ".join(f"IF({quoted(c)} > 0, {i}, NULL)" for i, c in enumerate(columns))
+    places = F.expr(f"array_compact(array({cells}))")
     seen = events.where(ref(cols.entity).isNotNull()).select(
         ref(cols.entity),
         F.struct(ref(cols.ts).alias("ts"), ref(cols.event_id).alias("id")).alias("_moment"),
@@ -30,8 +29,8 @@ def first_seen(events: DataFrame, cols: EventColumns, columns: Sequence[str]) ->
     per_entity = firsts.groupBy(ref(cols.entity)).agg(
         F.map_from_entries(F.collect_list(F.struct("_place", "_moment"))).alias("_map")
     )
-    slots = [F.try_element_at("_map", F.lit(i)) for i in range(len(columns))]
-    return per_entity.select(ref(cols.entity), F.array(*slots).alias("_firsts"))
+    slots = ", ".join(f"try_element_at(_map, {i})" for i in range(len(columns)))
+    return per_entity.select(ref(cols.entity), F.expr(f"array({slots})").alias("_firsts"))
 
 
 def split_current_ever(
@@ -50,12 +49,13 @@ def split_current_ever(
         return events
     firsts = first_seen(events, cols, picked)
     joined = join_per_key(events, firsts, cols.entity, policy, cells=len(picked))
-    moment = F.struct(ref(cols.ts).alias("ts"), ref(cols.event_id).alias("id"))
-    return joined.select(
-        *[ref(c) for c in events.columns if c not in set(picked)],
-        *[ref(c).alias(c + "_current") for c in picked],
+    moment = f"struct({quoted(cols.ts)} AS ts, {quoted(cols.event_id)} AS id)"
+    split = set(picked)
+    return joined.selectExpr(
+        *quoted_all(c for c in events.columns if c not in split),
+        *[named(quoted(c), c + "_current") for c in picked],
         *[
-            F.coalesce(F.get("_firsts", F.lit(i)) <= moment, F.lit(False)).alias(c + "_ever")
+            named(f"coalesce(get(_firsts, {i}) <= {moment}, FALSE)", c + "_ever")
             for i, c in enumerate(picked)
         ],
     )

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import ref
+from revisit.functions.columns import quoted_all, ref
 
 
 @dataclass(frozen=True)
@@ -103,8 +103,8 @@ def split_by_heat(
     if hot is None:
         return work(rows, replace(policy, decided=ORDINARY))
     few = F.broadcast(hot)  # at most max_keys rows
-    cold_rows = rows.join(few, list(keys), "left_anti").select([ref(c) for c in rows.columns])
-    hot_rows = rows.join(few, list(keys), "left_semi").select([ref(c) for c in rows.columns])
+    cold_rows = rows.join(few, list(keys), "left_anti").select(quoted_all(rows.columns))
+    hot_rows = rows.join(few, list(keys), "left_semi").select(quoted_all(rows.columns))
     return work(cold_rows, replace(policy, decided=ORDINARY)).unionByName(
         work(hot_rows, replace(policy, decided=HOT, hot_keys=hot))
     )
@@ -249,7 +249,7 @@ def _carried(placed: DataFrame, keys: Sequence[str], sums: Sequence[str], inside
     )
     joined = local.join(carry, [*keys, "_chunk"])
     return joined.select(
-        *[ref(c) for c in placed.columns],
+        *quoted_all(placed.columns),
         *[(ref("_in_" + s) + ref("_to_" + s)).cast("bigint").alias("before_" + s) for s in sums],
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import ref
+from revisit.functions.columns import literal, named, quoted, quoted_all, ref
 
 MAX_CATEGORIES = 10_000
 
@@ -84,13 +84,17 @@ def item_counts(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 def spread(counts: DataFrame, maps: Mapping[str, Sequence]) -> DataFrame:
     """Turn each map column into one column per listed item, named ``<map>_<item>``."""
+    keys = {name: counts.schema[name].dataType.keyType.simpleString() for name in maps}
     wide = [
-        F.try_element_at(ref(name), F.lit(item)).alias(f"{name}_{item}")
+        named(
+            f"try_element_at({quoted(name)}, CAST({literal(item)} AS {keys[name]}))",
+            f"{name}_{item}",
+        )
         for name, items in maps.items()
         for item in items
     ]
-    others = [ref(c) for c in counts.columns if c not in maps]
-    return counts.select(*others, *wide)
+    others = quoted_all(c for c in counts.columns if c not in maps)
+    return counts.selectExpr(*others, *wide)
 
 
 def count_pivot(
@@ -104,3 +108,4 @@ def count_pivot(
         items = vocabulary({prefix: (df, item)})[prefix]
     counts = item_counts({prefix: (df, key, item)}).withColumnRenamed("key", key)
     return spread(counts, {prefix: items})
+

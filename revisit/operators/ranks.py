@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import ref
+from revisit.functions.columns import quoted_all, ref
 from revisit.functions.time import epoch_micros
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, by_heat, sums_before
 
@@ -54,7 +54,7 @@ def average_rank(
             (first + (F.col("_ties") + 1) / F.lit(2.0)).alias(name),
         )
         joined = part.join(places, [*group, value], "left")
-        return joined.select(*[ref(c) for c in part.columns], ref(name))
+        return joined.select(*quoted_all(part.columns), ref(name))
 
     return by_heat(rows, group, ordinary, heavy, policy)
 

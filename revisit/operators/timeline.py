@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
-from revisit.functions.columns import quoted, ref
+from revisit.functions.columns import quoted, quoted_all, ref
 from revisit.operators import hot
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, by_heat
 from revisit.operators.ranks import average_rank
@@ -47,7 +47,7 @@ def event_ordinal(
             policy=policy.for_other_keys(),
         )
         return ranked.join(places, [cols.entity, cols.ts]).select(
-            *[ref(c) for c in part.columns],
+            *quoted_all(part.columns),
             (F.col("_before") + F.col("_place")).cast("bigint").alias(name),
         )
 
@@ -98,7 +98,7 @@ def _burst_windows(part, cols, break_days, start, prefix):
     tie_mean = (F.col("_n") + 1) / F.lit(2.0)
     number = F.col("_counted") - F.col("_n") + tie_mean
     return gaps.select(
-        *[ref(c) for c in part.columns],
+        *quoted_all(part.columns),
         (number if start is None else F.when(ts >= start, number)).alias(prefix + "referralnumber"),
         F.col("_gap").alias(prefix + "dayssincelastreferral"),
         cut.alias(prefix + "startofburst"),
@@ -116,7 +116,7 @@ def _burst_points(part, cols, break_days, start, prefix, policy):
     gap = F.coalesce(clock.elapsed_days(ref(cols.ts), F.col("_prev")), F.lit(0))
     gap = F.when(first, gap).otherwise(0)
     return part.join(places, [cols.entity, cols.ts]).select(
-        *[ref(c) for c in part.columns],
+        *quoted_all(part.columns),
         (number if start is None else F.when(ref(cols.ts) >= start, number)).alias(
             prefix + "referralnumber"
         ),
@@ -147,7 +147,7 @@ def look_ahead(
     """
     counted = _count_ahead(events, cols, window, break_days, policy)
     return counted.select(
-        *[ref(c) for c in events.columns],
+        *quoted_all(events.columns),
         F.col("_events").alias(prefix + "futurereferralcount"),
         _score(F.col("_events"), F.col("_gaps"), window, break_coefficient).alias(
             prefix + "futurereferralscore"
@@ -167,7 +167,7 @@ def _count_ahead(events, cols, window, break_days, policy):
             ).alias("_cut"),
         )
         return flagged.select(
-            *[ref(c) for c in part.columns],
+            *quoted_all(part.columns),
             (_framed("count(1)", cols, clock.frame_days_ahead(window)) - 1).alias("_events"),
             F.coalesce(
                 _framed("sum(_cut)", cols, clock.frame_days_ahead_after(window)), F.lit(0)
@@ -187,7 +187,7 @@ def _count_ahead(events, cols, window, break_days, policy):
             (F.col("until__cut") - F.col("_cuts")).alias("_gaps"),
         )
         return part.join(result, [cols.entity, cols.ts]).select(
-            *[ref(c) for c in part.columns], "_events", "_gaps"
+            *quoted_all(part.columns), "_events", "_gaps"
         )
 
     return by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
@@ -218,7 +218,7 @@ def look_back(
             ).alias("_cut_next"),
         )
         return flagged.select(
-            *[ref(c) for c in part.columns],
+            *quoted_all(part.columns),
             _framed("count(1)", cols, clock.frame_days_back(window)).alias("_events"),
             F.coalesce(
                 _framed("sum(_cut_next)", cols, clock.frame_days_back_before(window)), F.lit(0)
@@ -240,13 +240,13 @@ def look_back(
             (F.col("_cuts") - F.col("until__cut_next")).alias("_gaps"),
         )
         return part.join(result, [cols.entity, cols.ts]).select(
-            *[ref(c) for c in part.columns], "_events", "_gaps"
+            *quoted_all(part.columns), "_events", "_gaps"
         )
 
     counted = by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
     score = _score(F.col("_events"), F.col("_gaps"), window, break_coefficient) * 100
     return counted.select(
-        *[ref(c) for c in events.columns],
+        *quoted_all(events.columns),
         F.col("_events").alias(prefix + "count"),
         F.col("_gaps").alias(prefix + "gaps"),
         score.alias(prefix + "score"),
@@ -279,7 +279,7 @@ def events_in_last_months(
             (F.col("_before") + F.col("_n") - F.col("until__n")).alias(name),
         )
         return part.join(result, [cols.entity, cols.ts]).select(
-            *[ref(c) for c in part.columns], ref(name)
+            *quoted_all(part.columns), ref(name)
         )
 
     return by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
@@ -319,7 +319,7 @@ def weekly_counts(
             ) - F.count(F.lit(1)).over(in_week.rangeBetween(Window.currentRow, Window.currentRow))
             counts = [c - later for c in counts]
         return placed.select(
-            *[ref(c) for c in part.columns], *[c.alias(n) for c, n in zip(counts, names)]
+            *quoted_all(part.columns), *[c.alias(n) for c, n in zip(counts, names)]
         )
 
     def heavy(part: DataFrame) -> DataFrame:
@@ -351,7 +351,7 @@ def weekly_counts(
         else:
             later = F.lit(0)
         return joined.select(
-            *[ref(c) for c in part.columns], *[(ref(n) - later).alias(n) for n in names]
+            *quoted_all(part.columns), *[(ref(n) - later).alias(n) for n in names]
         )
 
     with_entity = events.where(ref(cols.entity).isNotNull() & ref(cols.ts).isNotNull())

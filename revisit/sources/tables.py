@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import lower_names, ref
-from revisit.functions.time import parse_time
+from revisit.functions.columns import lower_names, named, quoted
 from revisit.schema import CHILD_TABLES, REQUIRED_TABLES, TABLE_SCHEMAS
 
 TIMES = {"referral": ("referraltakendate",), "client": ("clientdateofbirth", "addresssincedate")}
@@ -77,13 +76,14 @@ def conform(tables: Mapping[str, DataFrame], strict: bool = True) -> dict[str, D
         df = lower_names(tables[name])
         declared = {f.name: f.dataType for f in TABLE_SCHEMAS[name]}
         times = TIMES.get(name, ())
-        made[name] = df.select(
+        cast = "CAST" if strict else "TRY_CAST"
+        made[name] = df.selectExpr(
             [
-                parse_time(ref(c), strict).alias(c)
+                named(f"{cast}({quoted(c)} AS TIMESTAMP_NTZ)", c)
                 if c in times
-                else ref(c).cast(declared[c]).alias(c)
+                else named(f"CAST({quoted(c)} AS {declared[c].simpleString()})", c)
                 if c in declared
-                else ref(c)
+                else quoted(c)
                 for c in df.columns
             ]
         )

@@ -354,8 +354,9 @@ def weekly_counts(
             *quoted_all(part.columns), *[(ref(n) - later).alias(n) for n in names]
         )
 
-    with_entity = events.where(ref(cols.entity).isNotNull() & ref(cols.ts).isNotNull())
-    counted = by_heat(with_entity, [cols.entity], ordinary, heavy, policy)
+    if policy.decided:  # inside a split there are only valid events
+        return by_heat(events, [cols.entity], ordinary, heavy, policy)
+    counted = by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
     without = events.where(ref(cols.entity).isNull() | ref(cols.ts).isNull())
     zeros = without.select("*", *[F.lit(0).cast("bigint").alias(n) for n in names])
     return counted.unionByName(zeros)

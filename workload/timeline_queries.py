@@ -24,7 +24,7 @@ def events(spark, folder):
     return table(spark, folder, "events").select("event_id", "user_id", "ts")
 
 
-def _ahead_sql(rows, names, window, break_days):
+def ahead_sql(rows, names, window, break_days):
     i, e, t = names
     return f"""
     WITH r AS ({rows}),
@@ -43,17 +43,17 @@ def _ahead_sql(rows, names, window, break_days):
     FROM p"""
 
 
-@query("lookahead_orders", _ahead_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 365, 28))
+@query("lookahead_orders", ahead_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 365, 28))
 def lookahead_orders(spark, folder):
     return timeline.look_ahead(orders(spark, folder), ORDERS)
 
 
-@query("lookahead_events", _ahead_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 7, 1))
+@query("lookahead_events", ahead_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 7, 1))
 def lookahead_events(spark, folder):
     return timeline.look_ahead(events(spark, folder), EVENTS, window=7, break_days=1)
 
 
-def _burst_sql(rows, names, break_days):
+def burst_sql(rows, names, break_days):
     i, e, t = names
     return f"""
     WITH r AS ({rows}),
@@ -73,12 +73,12 @@ def _burst_sql(rows, names, break_days):
     FROM k"""
 
 
-@query("burst_orders", _burst_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 28))
+@query("burst_orders", burst_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 28))
 def burst_orders(spark, folder):
     return timeline.burst_features(orders(spark, folder), ORDERS)
 
 
-@query("burst_events", _burst_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 1))
+@query("burst_events", burst_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 1))
 def burst_events(spark, folder):
     return timeline.burst_features(events(spark, folder), EVENTS, break_days=1)
 
@@ -130,7 +130,7 @@ def average_ranks(spark, folder):
     return average_rank(up, ["l_suppkey"], "l_quantity", "rank_down", descending=True)
 
 
-def _weekly_sql(rows, names):
+def weekly_sql(rows, names):
     i, e, t = names
     counts = ",\n".join(
         f"CAST(count(*) FILTER (WHERE b.m > a.m - {7 * n}) AS BIGINT) AS window_count_{n}"
@@ -144,12 +144,12 @@ def _weekly_sql(rows, names):
     GROUP BY a.id, a.e, a.t, a.m"""
 
 
-@query("weekly_counts_orders", _weekly_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate")))
+@query("weekly_counts_orders", weekly_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate")))
 def weekly_counts_orders(spark, folder):
     return timeline.weekly_counts(orders(spark, folder), ORDERS)
 
 
-@query("weekly_counts_events", _weekly_sql(EVENT_ROWS, ("event_id", "user_id", "ts")))
+@query("weekly_counts_events", weekly_sql(EVENT_ROWS, ("event_id", "user_id", "ts")))
 def weekly_counts_events(spark, folder):
     return timeline.weekly_counts(events(spark, folder), EVENTS)
 
@@ -195,7 +195,7 @@ def dense_weekly_totals(spark, folder):
     return timeline.dense_weekly_totals(orders(spark, folder), ORDERS)
 
 
-def _back_sql(rows, names, window, break_days):
+def back_sql(rows, names, window, break_days):
     i, e, t = names
     return f"""
     WITH r AS ({rows}),
@@ -214,11 +214,11 @@ def _back_sql(rows, names, window, break_days):
     FROM p"""
 
 
-@query("historical_score_orders", _back_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 365, 28))
+@query("historical_score_orders", back_sql(ORDER_ROWS, ("o_orderkey", "o_custkey", "o_orderdate"), 365, 28))
 def historical_score_orders(spark, folder):
     return timeline.look_back(orders(spark, folder), ORDERS)
 
 
-@query("historical_score_events", _back_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 7, 1))
+@query("historical_score_events", back_sql(EVENT_ROWS, ("event_id", "user_id", "ts"), 7, 1))
 def historical_score_events(spark, folder):
     return timeline.look_back(events(spark, folder), EVENTS, window=7, break_days=1)

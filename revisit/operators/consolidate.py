@@ -71,6 +71,11 @@ class Consolidation:
         joined = self.with_clients(self.events(tables), tables, policy)
         return self.spread(joined)
 
+    def bare_events(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """Only id, entity and time of the events."""
+        named = with_prefix(conform(tables)["referral"], "referral_")
+        return named.select(MASTER.event_id, MASTER.entity, MASTER.ts)
+
     def events(self, tables: Mapping[str, DataFrame]) -> DataFrame:
         """Events with one map of item counts per child table, not yet spread to columns."""
         check_tables(tables)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
 from revisit.functions.columns import ref
-from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
+from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, split_by_heat
 from revisit.operators.ranks import average_rank
 from revisit.schema import EventColumns
 
@@ -32,12 +32,11 @@ def top_fraction(
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Flag rows with descending rank / rows of the group below ``threshold``."""
-    ranked = average_rank(rows, [group], value, "_rank", descending=True, policy=policy)
-    sizes = rows.groupBy(ref(group)).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per group; adaptive execution broadcasts it while it is small.
-    joined = ranked.join(sizes, group)
+    ranked = average_rank(
+        rows, [group], value, "_rank", descending=True, policy=policy, size="_size"
+    )
     top = (F.col("_rank") / F.col("_size")) < F.lit(threshold)
-    return joined.withColumn(name, top).drop("_rank", "_size")
+    return ranked.withColumn(name, top).drop("_rank", "_size")
 
 
 def weekly_metrics(
@@ -49,16 +48,18 @@ def weekly_metrics(
     A week may hold most clients, so ranks come from ``average_rank`` (balanced chunks for large
     weeks), and the metrics are plain aggregates over the ranks with map-side combine.
     """
-    ranked = average_rank(means, ["week"], "actual", "_a", policy=policy)
-    ranked = average_rank(ranked, ["week"], "predicted", "_p", policy=policy)
-    sizes = means.groupBy("week").agg(F.count(F.lit(1)).alias("_size"))
-    joined = ranked.join(sizes, "week")
+
+    def ranks(part: DataFrame, known: HotPolicy) -> DataFrame:
+        ranked = average_rank(part, ["week"], "actual", "_a", policy=known, size="_size")
+        return average_rank(ranked, ["week"], "predicted", "_p", policy=known)
+
+    ranked = split_by_heat(means, ["week"], ranks, policy)
 
     def in_top(rank: str):
         return ((F.col("_size") + 1 - F.col(rank)) / F.col("_size")) < F.lit(threshold)
 
     spread = F.stddev_pop("_a") * F.stddev_pop("_p")
-    return joined.groupBy("week").agg(
+    return ranked.groupBy("week").agg(
         F.try_divide(F.covar_pop("_a", "_p"), spread).alias("spearman"),
         F.avg(F.when(in_top("_p"), in_top("_a").cast("double"))).alias("overlap"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import ref
-from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
+from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, join_per_key
 from revisit.operators.ranks import exact_quantile
 from revisit.operators.timeline import events_in_last_months
 from revisit.schema import EventColumns
@@ -66,8 +66,14 @@ def expected_events(
     return events.join(matching, key, "left_semi" if keep else "left_anti")
 
 
-def mark_members(rows: DataFrame, key: str, members: DataFrame, name: str) -> DataFrame:
+def mark_members(
+    rows: DataFrame,
+    key: str,
+    members: DataFrame,
+    name: str,
+    policy: HotPolicy = DEFAULT_POLICY,
+) -> DataFrame:
     """Boolean column: is the key of the row among the keys of ``members``."""
     keys = members.select(ref(key)).distinct().withColumn("_member", F.lit(True))
-    joined = rows.join(keys, key, "left")
+    joined = join_per_key(rows, keys, key, policy)
     return joined.withColumn(name, F.coalesce(F.col("_member"), F.lit(False))).drop("_member")

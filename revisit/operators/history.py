@@ -38,16 +38,18 @@ def split_current_ever(
     cols: EventColumns,
     classes: Sequence[str],
     policy: HotPolicy = DEFAULT_POLICY,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each count column of the classes by ``<column>_current`` and ``<column>_ever``.
 
     Current is the count on this event (null if absent). Ever is true from the entity's first
     event with a positive count on, in (time, id) order. A class picks columns by substring.
+    ``seen`` may give the same count columns before later joins; first sightings are read there.
     """
     picked = columns_like(events.columns, classes)
     if not picked:
         return events
-    firsts = first_seen(events, cols, picked)
+    firsts = first_seen(events if seen is None else seen, cols, picked)
     joined = join_per_key(events, firsts, cols.entity, policy, cells=len(picked))
     moment = f"struct({quoted(cols.ts)} AS ts, {quoted(cols.event_id)} AS id)"
     split = set(picked)

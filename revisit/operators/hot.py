@@ -31,7 +31,10 @@ from revisit.functions.columns import quoted_all, ref
 class HotPolicy:
     """When a key is hot, and how finely its rows are cut. ``chunks`` is a power of two.
 
-    ``decided`` is set inside a split: all rows are of ordinary keys, or all of hot ones.
+    The other fields are set inside a split. ``decided`` tells whether all rows are of ordinary
+    keys or of hot ones, ``hot_keys`` which keys those are. ``source`` holds the hot rows as they
+    were when the split began: operators in a chain compute from it and join to the rows they
+    are given, so a chain of n operators reads the hot rows n times and not 2^n times.
     """
 
     min_rows: int = 4_000_000
@@ -39,6 +42,7 @@ class HotPolicy:
     chunks: int = 1024
     decided: str | None = None
     hot_keys: DataFrame | None = field(default=None, compare=False, repr=False)
+    source: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.chunks < 2 or self.chunks & (self.chunks - 1):
@@ -46,7 +50,11 @@ class HotPolicy:
 
     def for_other_keys(self) -> HotPolicy:
         """The same policy for rows grouped by something else."""
-        return replace(self, decided=None, hot_keys=None)
+        return replace(self, decided=None, hot_keys=None, source=None)
+
+    def base(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """The named columns of the split's source, or of ``rows`` outside a split."""
+        return (rows if self.source is None else self.source).select(quoted_all(columns))
 
 
 ORDINARY, HOT = "ordinary", "hot"
@@ -78,12 +86,15 @@ def by_heat(
     rows: DataFrame,
     keys: Sequence[str],
     ordinary: Callable[[DataFrame], DataFrame],
-    heavy: Callable[[DataFrame], DataFrame],
+    heavy: Callable[[DataFrame, HotPolicy], DataFrame],
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """``ordinary`` over the rows of ordinary keys, ``heavy`` over those of hot keys."""
-    roads = {ORDINARY: ordinary, HOT: heavy}
-    return split_by_heat(rows, keys, lambda part, known: roads[known.decided](part), policy)
+
+    def work(part: DataFrame, known: HotPolicy) -> DataFrame:
+        return heavy(part, known) if known.decided == HOT else ordinary(part)
+
+    return split_by_heat(rows, keys, work, policy)
 
 
 def split_by_heat(
@@ -91,22 +102,26 @@ def split_by_heat(
     keys: Sequence[str],
     work: Callable[[DataFrame, HotPolicy], DataFrame],
     policy: HotPolicy = DEFAULT_POLICY,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """Split once, then run ``work(part, policy)`` on each part and union the results.
 
     Operators called with the policy they are given here do not look for hot keys again, so a
-    chain of them shares one shuffle.
+    chain of them shares one shuffle. ``narrow`` may give the same rows before costly joins;
+    keys are counted there.
     """
     if policy.decided:
         return work(rows, policy)
-    hot = find_hot(rows, keys, policy)
+    narrow = rows if narrow is None else narrow
+    hot = find_hot(narrow, keys, policy)
     if hot is None:
         return work(rows, replace(policy, decided=ORDINARY))
     few = F.broadcast(hot)  # at most max_keys rows
     cold_rows = rows.join(few, list(keys), "left_anti").select(quoted_all(rows.columns))
     hot_rows = rows.join(few, list(keys), "left_semi").select(quoted_all(rows.columns))
+    source = narrow.join(few, list(keys), "left_semi")
     return work(cold_rows, replace(policy, decided=ORDINARY)).unionByName(
-        work(hot_rows, replace(policy, decided=HOT, hot_keys=hot))
+        work(hot_rows, replace(policy, decided=HOT, hot_keys=hot, source=source))
     )
 
 

@@ -20,10 +20,12 @@ def average_rank(
     name: str,
     descending: bool = False,
     policy: HotPolicy = DEFAULT_POLICY,
+    size: str | None = None,
 ) -> DataFrame:
     """Add the rank of ``value`` in its group; equal values share the mean of their places.
 
-    Null values have a null rank and take no place.
+    Null values have a null rank and take no place. ``size`` names a column for the number of
+    rows of the group.
     """
     group = list(group)
 
@@ -32,9 +34,11 @@ def average_rank(
         by_value = Window.partitionBy(*[ref(g) for g in group]).orderBy(order)
         ties = F.count(F.lit(1)).over(by_value.rangeBetween(0, 0))
         mean_place = F.rank().over(by_value) + (ties - 1) / F.lit(2.0)
-        return part.select("*", _where_set(value, mean_place).alias(name))
+        whole = by_value.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        sizes = [F.count(F.lit(1)).over(whole).alias(size)] if size else []
+        return part.select("*", _where_set(value, mean_place).alias(name), *sizes)
 
-    def heavy(part: DataFrame) -> DataFrame:
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
         points = (
             part.where(ref(value).isNotNull())
             .groupBy(*[ref(g) for g in group], ref(value))
@@ -42,10 +46,9 @@ def average_rank(
         )
         placed = sums_before(points, group, value, ["_ties"], policy)
         if descending:
-            # Totals per group: one row per hot group.
-            size = points.groupBy([ref(g) for g in group]).agg(F.sum("_ties").alias("_size"))
-            placed = placed.join(F.broadcast(size), group)
-            first = F.col("_size") - F.col("before__ties") - F.col("_ties")
+            totals = points.groupBy([ref(g) for g in group]).agg(F.sum("_ties").alias("_total"))
+            placed = placed.join(F.broadcast(totals), group)  # one row per hot group
+            first = F.col("_total") - F.col("before__ties") - F.col("_ties")
         else:
             first = F.col("before__ties")
         places = placed.select(
@@ -54,7 +57,11 @@ def average_rank(
             (first + (F.col("_ties") + 1) / F.lit(2.0)).alias(name),
         )
         joined = part.join(places, [*group, value], "left")
-        return joined.select(*quoted_all(part.columns), ref(name))
+        if not size:
+            return joined.select(*quoted_all(part.columns), ref(name))
+        sizes = part.groupBy([ref(g) for g in group]).agg(F.count(F.lit(1)).alias(size))
+        joined = joined.join(F.broadcast(sizes), group)  # one row per hot group
+        return joined.select(*quoted_all(part.columns), ref(name), ref(size))
 
     return by_heat(rows, group, ordinary, heavy, policy)
 
@@ -137,5 +144,9 @@ def exact_quantile(rows: DataFrame, value: str, share: float) -> float | None:
     part = position - place
     if not part:
         return float(low)
-    high, _ = order_statistic(rows, value, place + 1)
+    # The next place holds the same value, or the smallest one above it.
+    upto, above = rows.agg(
+        F.count_if(ref(value) <= F.lit(low)), F.min(F.when(ref(value) > F.lit(low), ref(value)))
+    ).first()
+    high = low if upto > place + 1 else above
     return float(low) + (float(high) - float(low)) * part

@@ -40,11 +40,11 @@ def event_ordinal(
     def ordinary(part: DataFrame) -> DataFrame:
         return part.select("*", F.row_number().over(_by_id(cols)).cast("bigint").alias(name))
 
-    def heavy(part: DataFrame) -> DataFrame:
-        places = _points(part, cols, 1, policy).select(cols.entity, cols.ts, "_before")
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
+        places = _points(_base(part, cols, policy), cols, 1, policy)
+        places = places.select(ref(cols.entity), ref(cols.ts), "_before")
         ranked = average_rank(
-            part, [cols.entity, cols.ts], cols.event_id, "_place",
-            policy=policy.for_other_keys(),
+            part, [cols.entity, cols.ts], cols.event_id, "_place", policy=policy.for_other_keys()
         )
         return ranked.join(places, [cols.entity, cols.ts]).select(
             *quoted_all(part.columns),
@@ -71,7 +71,7 @@ def burst_features(
     def ordinary(part: DataFrame) -> DataFrame:
         return _burst_windows(part, cols, break_days, start, prefix)
 
-    def heavy(part: DataFrame) -> DataFrame:
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
         return _burst_points(part, cols, break_days, start, prefix, policy)
 
     return by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
@@ -109,7 +109,7 @@ def _burst_windows(part, cols, break_days, start, prefix):
 
 
 def _burst_points(part, cols, break_days, start, prefix, policy):
-    places = _points(part, cols, break_days, policy, start)
+    places = _points(_base(part, cols, policy), cols, break_days, policy, start)
     first = ref(cols.event_id) == F.col("_first_id")
     tie_mean = (F.col("_n") + 1) / F.lit(2.0)
     number = F.col("_before") - F.col("_uncounted") + tie_mean
@@ -174,8 +174,8 @@ def _count_ahead(events, cols, window, break_days, policy):
             ).alias("_gaps"),
         )
 
-    def heavy(part: DataFrame) -> DataFrame:
-        places = _points(part, cols, break_days, policy)
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
+        places = _points(_base(part, cols, policy), cols, break_days, policy)
         probes = places.withColumn("_end", ref(cols.ts) + clock.days(window + 1))
         reached = hot.sums_at(
             places, probes, [cols.entity], cols.ts, "_end", ["_n", "_cut"], False, policy
@@ -225,8 +225,8 @@ def look_back(
             ).alias("_gaps"),
         )
 
-    def heavy(part: DataFrame) -> DataFrame:
-        places = _points(part, cols, break_days, policy)
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
+        places = _points(_base(part, cols, policy), cols, break_days, policy)
         probes = places.withColumn("_begin", ref(cols.ts) - clock.days(window + 1))
         reached = hot.sums_at(
             places, probes, [cols.entity], cols.ts, "_begin", ["_n", "_cut_next"], True, policy
@@ -266,8 +266,8 @@ def events_in_last_months(
         framed = _framed("count(1)", cols, clock.frame_months_back(months))
         return part.select("*", framed.alias(name))
 
-    def heavy(part: DataFrame) -> DataFrame:
-        places = _points(part, cols, 1, policy)
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
+        places = _points(_base(part, cols, policy), cols, 1, policy)
         begin = ref(cols.ts) - F.expr(f"INTERVAL '{int(months)}' MONTH")
         reached = hot.sums_at(
             places, places.withColumn("_begin", begin), [cols.entity], cols.ts, "_begin", ["_n"],
@@ -322,8 +322,8 @@ def weekly_counts(
             *quoted_all(part.columns), *[c.alias(n) for c, n in zip(counts, names)]
         )
 
-    def heavy(part: DataFrame) -> DataFrame:
-        per_week = weekly_totals(part, cols)
+    def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
+        per_week = weekly_totals(_base(part, cols, policy), cols)
         by_week = Window.partitionBy(ref(cols.entity)).orderBy("week")
         sums = per_week.select(
             ref(cols.entity),
@@ -336,7 +336,7 @@ def weekly_counts(
         joined = part.withColumn("_week", week).join(sums, [cols.entity, "_week"])
         if strict_past:
             # Events after this one in its week: week total up to its end minus the prefix.
-            places = _points(part, cols, 1, policy).select(
+            places = _points(_base(part, cols, policy), cols, 1, policy).select(
                 ref(cols.entity), ref(cols.ts), (F.col("_before") + F.col("_n")).alias("_upto")
             )
             ends = per_week.select(
@@ -404,6 +404,10 @@ def _by_ts(cols: EventColumns):
     return Window.partitionBy(ref(cols.entity)).orderBy(ref(cols.ts))
 
 
+def _base(part: DataFrame, cols: EventColumns, policy: HotPolicy) -> DataFrame:
+    return policy.base(part, [cols.event_id, cols.entity, cols.ts])
+
+
 def _framed(function: str, cols: EventColumns, frame: str) -> Column:
     # SQL text, because the Window builder takes no interval bounds.
     return F.expr(

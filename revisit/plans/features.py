@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from revisit.functions.columns import ref
 from revisit.operators.align import label
 from revisit.operators.consolidate import Consolidation
-from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, split_by_heat
+from revisit.operators.hot import DEFAULT_POLICY, ORDINARY, HotPolicy, split_by_heat
 from revisit.operators.pivot import MAX_CATEGORIES
 from revisit.operators.timeline import valid_events
 from revisit.plans.stages import (
@@ -67,19 +67,19 @@ class FeaturePipeline:
         """
         s = settings or FeatureSettings()
         consolidation = Consolidation.fit(tables, as_of, s.encode_counts, s.max_categories)
-        events = consolidation.events(tables)
+        events = consolidation.bare_events(tables)
         made = cls(
             consolidation=consolidation,
             future=FutureScore(
                 window=s.window, breakDays=s.break_days, coefficient=float(s.break_coefficient)
             ),
-            burst=BurstFeatures(breakDays=s.break_days).fit(events.select(MASTER.ts)),
+            burst=BurstFeatures(breakDays=s.break_days).fit(events),
             weekly=WeeklyCounts(weeks=list(s.weeks), strictPast=s.strict_past),
             ever=CurrentEver(classes=list(s.split_classes)),
             extra=list(s.extra_stages),
         )
         # Only names are needed, so no hot keys are looked for and no job runs.
-        names = made.rows(tables, labelled=True, policy=HotPolicy(decided="ordinary"))
+        names = made.rows(tables, labelled=True, policy=HotPolicy(decided=ORDINARY))
         made.aligner = AlignSchema().fit(names)
         return made
 
@@ -100,17 +100,19 @@ class FeaturePipeline:
         only after the windows.
         """
         events = valid_events(self.consolidation.events(tables), MASTER)
+        narrow = valid_events(self.consolidation.bare_events(tables), MASTER)
 
         def work(part: DataFrame, known: HotPolicy) -> DataFrame:
+            seen = self.consolidation.spread(part)
             if labelled:
                 part = self.future.run(part, known)
             part = self.burst.run(part, known)
             part = self.weekly.run(part, known)
             part = self.consolidation.with_clients(part, tables, known)
             part = self.consolidation.spread(part)
-            return self.ever.run(part, known)
+            return self.ever.run(part, known, seen)
 
-        made = split_by_heat(events, [MASTER.entity], work, policy)
+        made = split_by_heat(events, [MASTER.entity], work, policy, narrow)
         # Weekly counts belong to known clients; other events have 0.
         counts = {
             name: F.when(ref(CLIENT_KEY).isNotNull(), ref(name)).otherwise(F.lit(0))

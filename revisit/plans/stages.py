@@ -101,8 +101,8 @@ class CurrentEver(HistoryStage):
         self._setDefault(classes=list(SPLIT_CLASSES))
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def run(self, df, policy):
-        return split_current_ever(df, self.columns(), self.getOrDefault(self.classes), policy)
+    def run(self, df, policy, seen=None):
+        return split_current_ever(df, self.columns(), self.getOrDefault(self.classes), policy, seen)
 
 
 class _BurstParams(EventParams):

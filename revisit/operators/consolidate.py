@@ -13,7 +13,7 @@ from revisit.functions.columns import quoted_all, ref, with_prefix
 from revisit.operators.client import client_features, one_row_per_key
 from revisit.operators.encode import count_encode
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, join_per_key
-from revisit.operators.pivot import MAX_CATEGORIES, category_counts, item_counts, spread
+from revisit.operators.pivot import MAX_CATEGORIES, category_counts, counted_items, spread
 from revisit.schema import (
     CHILD_TABLES,
     CLIENT_CATEGORIES,
@@ -77,18 +77,23 @@ class Consolidation:
         return named.select(MASTER.event_id, MASTER.entity, MASTER.ts)
 
     def events(self, tables: Mapping[str, DataFrame]) -> DataFrame:
-        """Events with one map of item counts per child table, not yet spread to columns."""
+        """Events with their child item counts (see ``counted_items``)."""
         check_tables(tables)
         tables = conform(tables)
-        children = {}
+        events = with_prefix(tables["referral"], "referral_")
+        items = self._child_items()
         for name, (key, item) in CHILD_TABLES.items():
+            if not items[name]:
+                continue
             rows = tables[name]
             if self.encode_counts:
                 rows = count_encode(rows, item, self.children[name])
-            children[name] = (rows, key, item)
-        counts = item_counts(children).withColumnRenamed("key", MASTER.event_id)
-        referral = with_prefix(tables["referral"], "referral_")
-        return referral.join(counts, MASTER.event_id, "left")
+            counts = counted_items({name: (rows, key, item)}, {name: items[name]})
+            # Every side is partitioned by event id, so events move once for all six joins.
+            events = events.join(
+                counts.withColumnRenamed("key", MASTER.event_id), MASTER.event_id, "left"
+            )
+        return events
 
     def with_clients(
         self,
@@ -116,17 +121,20 @@ class Consolidation:
                 client = client.withColumn(c, F.lit(None).cast("bigint"))
         features = client_features(client, self._moment(), categories)
         key, item = CLIENT_ISSUE
-        issues = item_counts({"clientissue": (tables["clientissue"], key, item)})
+        items = {"clientissue": list(self.client_issues)}
+        issues = counted_items({"clientissue": (tables["clientissue"], key, item)}, items)
         issues = issues.withColumnRenamed("key", CLIENT_KEY)
         joined = with_prefix(features, "client_").join(issues, CLIENT_KEY, "left")
-        return spread(joined, {"clientissue": list(self.client_issues)})
+        return spread(joined, items)
 
     def spread(self, events: DataFrame) -> DataFrame:
-        """The count maps of ``events`` as one column per fitted item."""
-        items = {name: list(fitted) for name, fitted in self.children.items()}
+        """Count maps in ``events``, if any, as one column per fitted item."""
+        return spread(events, self._child_items())
+
+    def _child_items(self) -> dict[str, list]:
         if self.encode_counts:
-            items = {name: sorted(set(v.values())) for name, v in self.children.items()}
-        return spread(events, items)
+            return {name: sorted(set(v.values())) for name, v in self.children.items()}
+        return {name: list(fitted) for name, fitted in self.children.items()}
 
     def _moment(self) -> Column:
         return F.lit(self.as_of).cast("timestamp_ntz")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import columns_like, named, quoted, quoted_all, ref
-from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, join_per_key
+from revisit.operators.hot import DEFAULT_POLICY, ORDINARY, HotPolicy, by_heat, join_per_key
+from revisit.operators.pivot import WIDE
+from revisit.operators.timeline import valid_events
 from revisit.schema import EventColumns
 
 
@@ -45,19 +48,42 @@ def split_current_ever(
     Current is the count on this event (null if absent). Ever is true from the entity's first
     event with a positive count on, in (time, id) order. A class picks columns by substring.
     ``seen`` may give the same count columns before later joins; first sightings are read there.
+    Rows without entity or time have seen nothing.
     """
     picked = columns_like(events.columns, classes)
     if not picked:
         return events
-    firsts = first_seen(events if seen is None else seen, cols, picked)
-    joined = join_per_key(events, firsts, cols.entity, policy, cells=len(picked))
-    moment = f"struct({quoted(cols.ts)} AS ts, {quoted(cols.event_id)} AS id)"
-    split = set(picked)
-    return joined.selectExpr(
-        *quoted_all(c for c in events.columns if c not in split),
-        *[named(quoted(c), c + "_current") for c in picked],
-        *[
+    others = quoted_all(c for c in events.columns if c not in set(picked))
+    current = [named(quoted(c), c + "_current") for c in picked]
+    order = f"PARTITION BY {quoted(cols.entity)} ORDER BY {quoted(cols.ts)}, {quoted(cols.event_id)}"
+    running = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def by_windows(part: DataFrame) -> DataFrame:
+        ever = [
+            named(f"max(coalesce({quoted(c)} > 0, FALSE)) {running}", c + "_ever") for c in picked
+        ]
+        return part.selectExpr(*others, *current, *ever)
+
+    def by_first_sight(part: DataFrame, known: HotPolicy) -> DataFrame:
+        firsts = first_seen(part if seen is None else seen, cols, picked)
+        joined = join_per_key(part, firsts, cols.entity, known, cells=len(picked))
+        moment = f"struct({quoted(cols.ts)} AS ts, {quoted(cols.event_id)} AS id)"
+        ever = [
             named(f"coalesce(get(_firsts, {i}) <= {moment}, FALSE)", c + "_ever")
             for i, c in enumerate(picked)
-        ],
-    )
+        ]
+        return joined.selectExpr(*others, *current, *ever)
+
+    def ordinary(part: DataFrame) -> DataFrame:
+        # Few columns: running windows in the order the rows already have. Many: one pass over
+        # the positive cells instead of a window per column.
+        if len(picked) <= WIDE:
+            return by_windows(part)
+        return by_first_sight(part, replace(policy, decided=ORDINARY))
+
+    if policy.decided:
+        return by_heat(events, [cols.entity], ordinary, by_first_sight, policy)
+    split = by_heat(valid_events(events, cols), [cols.entity], ordinary, by_first_sight, policy)
+    rest = events.where(ref(cols.entity).isNull() | ref(cols.ts).isNull())
+    never = [named("FALSE", c + "_ever") for c in picked]
+    return split.unionByName(rest.selectExpr(*others, *current, *never))

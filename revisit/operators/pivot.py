@@ -1,4 +1,9 @@
-"""Category counts: long while they move, wide only in a final projection."""
+"""Category counts per key.
+
+With up to ``WIDE`` categories in all, counts are plain aggregate columns: one shuffle, reduced
+before it. Above that every row would carry mostly empty columns through each step, so counts
+stay in one small map per key and become columns in a final projection (``spread``).
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from revisit.functions.columns import literal, named, quoted, quoted_all, ref
 
 MAX_CATEGORIES = 10_000
+WIDE = 64
 
 
 def category_counts(
@@ -20,10 +26,7 @@ def category_counts(
     One job per item type. Fails above ``max_categories`` in total, as Spark's own pivot does:
     every category becomes a column.
     """
-    parts = [
-        df.select(F.lit(name).alias("name"), ref(item).alias("item"))
-        for name, (df, item) in tables.items()
-    ]
+    parts = _named_items(tables)
     found: dict[str, dict] = {name: {} for name in tables}
     for group in _same_type(parts):
         counted = group.where(F.col("item").isNotNull()).groupBy("name", "item").count()
@@ -44,6 +47,22 @@ def vocabulary(
     return {name: list(items) for name, items in category_counts(tables, max_categories).items()}
 
 
+def _named_items(tables: Mapping[str, tuple[DataFrame, str]]) -> list[DataFrame]:
+    """(name, item) rows; columns of one table and type come from a single scan of it."""
+    together: dict[tuple, list] = {}
+    for name, (df, item) in tables.items():
+        kind = df.schema[item].dataType.simpleString()
+        together.setdefault((id(df), kind), []).append((df, name, item))
+    parts = []
+    for group in together.values():
+        cells = ", ".join(
+            f"named_struct('name', {literal(name)}, 'item', {quoted(item)})"
+            for _, name, item in group
+        )
+        parts.append(group[0][0].selectExpr(f"inline(array({cells}))"))
+    return parts
+
+
 def _same_type(parts: Sequence[DataFrame]) -> list[DataFrame]:
     """Union the (name, item) frames that share an item type."""
     groups: dict[str, DataFrame] = {}
@@ -60,19 +79,7 @@ def item_counts(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
     count per (key, table, item) before the first shuffle, then one small map per key.
     """
     names = list(tables)
-    parts = []
-    for place, name in enumerate(names):
-        df, key, item = tables[name]
-        rows = df.where(ref(key).isNotNull() & ref(item).isNotNull())
-        parts.append(
-            rows.select(
-                ref(key).alias("key"), F.lit(place).alias("place"), ref(item).alias("item")
-            )
-        )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    counts = rows.groupBy("key", "place", "item").agg(F.count(F.lit(1)).alias("n"))
+    counts = _long_items(tables).groupBy("key", "place", "item").agg(F.count(F.lit(1)).alias("n"))
     pair = F.struct("item", "n")
     return counts.groupBy("key").agg(
         *[
@@ -82,8 +89,45 @@ def item_counts(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
     )
 
 
+def _long_items(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(key, place, item) rows of all tables; rows without key or item count nowhere."""
+    rows = None
+    for place, (df, key, item) in enumerate(tables.values()):
+        part = df.where(ref(key).isNotNull() & ref(item).isNotNull()).selectExpr(
+            named(quoted(key), "key"), f"{place} AS place", named(quoted(item), "item")
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def counted_items(
+    tables: Mapping[str, tuple[DataFrame, str, str]], items: Mapping[str, Sequence]
+) -> DataFrame:
+    """One row per key with its item counts, as columns if they are few, else as maps.
+
+    ``spread`` turns either into columns ``<name>_<item>``.
+    """
+    if sum(len(v) for v in items.values()) > WIDE:
+        return item_counts(tables)
+    rows = _long_items(tables)
+    kind = rows.schema["item"].dataType.simpleString()
+    cells = [
+        F.expr(
+            f"nullif(count_if(place = {place} AND item = CAST({literal(v)} AS {kind})), 0)"
+        ).alias(f"{name}_{v}")
+        for place, name in enumerate(tables)
+        for v in items[name]
+    ]
+    if not cells:
+        return rows.select("key").distinct()
+    return rows.groupBy("key").agg(*cells)
+
+
 def spread(counts: DataFrame, maps: Mapping[str, Sequence]) -> DataFrame:
     """Turn each map column into one column per listed item, named ``<map>_<item>``."""
+    maps = {name: items for name, items in maps.items() if name in counts.columns}
+    if not maps:
+        return counts
     keys = {name: counts.schema[name].dataType.keyType.simpleString() for name in maps}
     wide = [
         named(
@@ -106,6 +150,6 @@ def count_pivot(
     """
     if items is None:
         items = vocabulary({prefix: (df, item)})[prefix]
-    counts = item_counts({prefix: (df, key, item)}).withColumnRenamed("key", key)
-    return spread(counts, {prefix: items})
+    counts = counted_items({prefix: (df, key, item)}, {prefix: items})
+    return spread(counts.withColumnRenamed("key", key), {prefix: items})
 

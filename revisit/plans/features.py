@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from revisit.functions.columns import ref
 from revisit.operators.align import label
 from revisit.operators.consolidate import Consolidation
-from revisit.operators.hot import DEFAULT_POLICY, ORDINARY, HotPolicy, split_by_heat
+from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, split_by_heat
 from revisit.operators.pivot import MAX_CATEGORIES
 from revisit.operators.timeline import valid_events
 from revisit.plans.stages import (
@@ -60,8 +60,20 @@ class FeaturePipeline:
         tables: Mapping[str, DataFrame],
         as_of: str | datetime,
         settings: FeatureSettings | None = None,
+        policy: HotPolicy = DEFAULT_POLICY,
     ) -> FeaturePipeline:
-        """Learn vocabularies, first event time and feature columns: two small aggregations.
+        """Learn vocabularies, first event time and feature columns: two small aggregations."""
+        return cls.fit_transform(tables, as_of, settings, policy)[0]
+
+    @classmethod
+    def fit_transform(
+        cls,
+        tables: Mapping[str, DataFrame],
+        as_of: str | datetime,
+        settings: FeatureSettings | None = None,
+        policy: HotPolicy = DEFAULT_POLICY,
+    ) -> tuple[FeaturePipeline, DataFrame]:
+        """The fitted pipeline and the training rows (leftover columns, features, ``label``).
 
         ``as_of`` is the moment ages refer to; it is kept, so training and scoring agree.
         """
@@ -78,10 +90,9 @@ class FeaturePipeline:
             ever=CurrentEver(classes=list(s.split_classes)),
             extra=list(s.extra_stages),
         )
-        # Only names are needed, so no hot keys are looked for and no job runs.
-        names = made.rows(tables, labelled=True, policy=HotPolicy(decided=ORDINARY))
-        made.aligner = AlignSchema().fit(names)
-        return made
+        rows = made.rows(tables, labelled=True, policy=policy)
+        made.aligner = AlignSchema().fit(rows)
+        return made, made.aligner.transform(label(rows))
 
     @property
     def column_schema(self) -> list[str]:

@@ -108,9 +108,8 @@ def training_matrix(
     re-read instead of all joins and windows.
     """
     settings = settings or FeatureSettings()
-    features = FeaturePipeline.fit(tables, as_of, settings)
-    rows = durable(features.training_rows(tables, policy), "features")
-    return features, matured(rows, MASTER.ts, 365)
+    features, rows = FeaturePipeline.fit_transform(tables, as_of, settings, policy)
+    return features, matured(durable(rows, "features"), MASTER.ts, settings.window)
 
 
 def train(

@@ -83,10 +83,8 @@ def _feature_sql() -> str:
 def feature_matrix(spark, folder):
     """The whole default pipeline: tables to aligned features and label."""
     tables = domain_tables(spark, folder)
-    features = FeaturePipeline.fit(tables, AS_OF)
-    return features.training_rows(tables).select(
-        MASTER.event_id, "label", *features.column_schema
-    )
+    features, rows = FeaturePipeline.fit_transform(tables, AS_OF)
+    return rows.select(MASTER.event_id, "label", *features.column_schema)
 
 
 @query(

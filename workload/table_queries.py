@@ -212,11 +212,13 @@ def count_encoded_clients(spark, folder):
 def _flag_rows(spark, folder):
     """Orders with the flag and status counts of their lines."""
     lines = table(spark, folder, "lineitem")
-    counts = pivot.item_counts(
-        {"flag": (lines, "l_orderkey", "l_returnflag"), "status": (lines, "l_orderkey", "l_linestatus")}
+    items = {"flag": ["A", "N", "R"], "status": ["F", "O"]}
+    counts = pivot.counted_items(
+        {"flag": (lines, "l_orderkey", "l_returnflag"), "status": (lines, "l_orderkey", "l_linestatus")},
+        items,
     ).withColumnRenamed("key", "o_orderkey")
     joined = orders(spark, folder).join(counts, "o_orderkey", "left")
-    return pivot.spread(joined, {"flag": ["A", "N", "R"], "status": ["F", "O"]})
+    return pivot.spread(joined, items)
 
 
 _FLAG_SQL = """
@@ -251,6 +253,35 @@ def current_and_ever_flags(spark, folder):
     return split_current_ever(_flag_rows(spark, folder), ORDERS, ["flag_"])
 
 
+@query(
+    "ever_flags_many_categories",
+    """
+    WITH s AS (SELECT o_custkey, o_orderdate, o_orderkey, l_suppkey
+               FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    f AS (SELECT DISTINCT ON (o_custkey, l_suppkey) o_custkey, o_orderkey
+          FROM s ORDER BY o_custkey, l_suppkey, o_orderdate, o_orderkey)
+    SELECT o.o_orderkey, count(f.o_orderkey) AS suppliers_so_far
+    FROM orders o
+    LEFT JOIN (SELECT f.o_custkey, f.o_orderkey, o_orderdate
+               FROM f JOIN orders USING (o_orderkey)) f
+      ON f.o_custkey = o.o_custkey
+     AND (f.o_orderdate, f.o_orderkey) <= (o.o_orderdate, o.o_orderkey)
+    GROUP BY o.o_orderkey""",
+)
+def ever_flags_many_categories(spark, folder):
+    """One column per supplier: the many-category road of the pivot and of the ever flags."""
+    lines = table(spark, folder, "lineitem")
+    items = pivot.vocabulary({"supplier": (lines, "l_suppkey")})
+    counts = pivot.counted_items({"supplier": (lines, "l_orderkey", "l_suppkey")}, items)
+    joined = orders(spark, folder).join(
+        counts.withColumnRenamed("key", "o_orderkey"), "o_orderkey", "left"
+    )
+    wide = split_current_ever(pivot.spread(joined, items), ORDERS, ["supplier_"])
+    ever = [c for c in wide.columns if c.endswith("_ever")]
+    total = " + ".join(f"CAST({c} AS BIGINT)" for c in ever)
+    return wide.selectExpr("o_orderkey", f"{total} AS suppliers_so_far")
+
+
 @query(
     "column_naming",
     f"""

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="revisit-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="revisit-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder the cluster names for checkpoints; one of our own only where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

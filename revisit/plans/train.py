@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.ml import Estimator, PipelineModel
@@ -17,7 +17,7 @@ from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
 from revisit.operators.split import matured, temporal_split
 from revisit.plans.durable import durable
 from revisit.plans.features import FeaturePipeline, FeatureSettings
-from revisit.schema import MASTER
+from revisit.schema import CLIENT_KEY, MASTER
 from revisit.sources.sinks import score_rows
 
 # Ensemble sizes of the default and the alternative forest.
@@ -130,14 +130,21 @@ def train(
 
 def _fit(features, matrix, learner, test, test_share, threshold, version, policy) -> Trained:
     columns = features.column_schema
+    by_client = replace(MASTER, entity=CLIENT_KEY)  # events without a client row are not judged
     metrics = None
     part = matrix
     if test:
         part, held_out = temporal_split(matrix, MASTER, test_share)
     regressor = fit_regressor(part, columns, learner)
     if test:
-        scored = regressor.transform(held_out)
-        metrics = evaluate(scored, MASTER, threshold=threshold, policy=policy)
+        # Each row is scored once; the evaluation reads a few narrow columns several times.
+        scored = durable(
+            regressor.transform(held_out).select(
+                MASTER.event_id, MASTER.entity, MASTER.ts, CLIENT_KEY, "label", "prediction"
+            ),
+            "scored",
+        )
+        metrics = evaluate(scored, by_client, threshold=threshold, policy=policy)
     return Trained(ScoringModel(features, regressor, version), matrix, metrics)
 
 

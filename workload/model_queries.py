@@ -10,7 +10,7 @@ from revisit.operators import evaluate as quality
 from revisit.operators import flagging, split, timeline
 from revisit.operators.ranks import exact_quantile, order_statistic
 from revisit.plans import train as training
-from revisit.plans.durable import shared_folder
+from revisit.plans.durable import durable, shared_folder
 from revisit.plans.features import FeaturePipeline
 from revisit.plans.score import score_json, support_flags
 from revisit.schema import CHILD_TABLES, MASTER, TABLE_SCHEMAS
@@ -40,11 +40,14 @@ from workload.timeline_queries import (
 SPLIT = ("referralissue", "referraldomesticcircumstances", "referralreason", "referralbenefit")
 
 
-def _feature_sql() -> str:
+LABEL_SQL = "futurereferraltargetfeature_futurereferralscore AS label"
+
+
+def _feature_sql(own=(LABEL_SQL, "referral_householdsize")) -> str:
     """Every feature of every event, by definition rather than by window."""
     names = ("id", "e", "t")
     over = "OVER (PARTITION BY referral_clientid ORDER BY referral_referraltakendate, referral_referralinstanceid)"
-    cells = ["referral_householdsize"]
+    cells = list(own)
     for name, values in CHILD_ITEMS.items():
         for v in values:
             c = f"{name}_{v}"
@@ -68,8 +71,7 @@ def _feature_sql() -> str:
     ahead AS ({ahead_sql(ORDER_ROWS, names, 365, 28)}),
     burst AS ({burst_sql(ORDER_ROWS, names, 28)}),
     weekly AS ({weekly_sql(ORDER_ROWS, names)}),
-    f AS (SELECT referral_referralinstanceid,
-                 futurereferraltargetfeature_futurereferralscore AS label, {', '.join(cells)}
+    f AS (SELECT referral_referralinstanceid, {', '.join(cells)}
           FROM master m
           JOIN ahead a ON a.id = m.referral_referralinstanceid
           JOIN burst b ON b.id = m.referral_referralinstanceid
@@ -331,25 +333,39 @@ def json_column(spark, folder):
 
 
 def payload_rows(spark, folder):
-    """One nested object per client, from the domain tables."""
+    """Nested objects from the domain tables: one per event with its child rows, one per client.
+
+    Objects of one client are read back as one history, so none has to hold all of it.
+    """
     tables = domain_tables(spark, folder)
-    owner = tables["referral"].select("referralinstanceid", "clientid")
-    parts = {"referral": tables["referral"], "client": tables["client"]}
-    parts["clientissue"] = tables["clientissue"]
-    for name, (key, _) in CHILD_TABLES.items():
-        parts[name] = tables[name].join(owner, key)
-    made = None
-    for name, rows in parts.items():
+
+    def cells(name, rows):
         fields = [f for f in TABLE_SCHEMAS[name] if f.name in rows.columns]
-        row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-        grouped = rows.groupBy("clientid").agg(F.collect_list(row).alias(name))
-        made = grouped if made is None else made.join(grouped, "clientid", "left")
-    return made
+        return F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+    referral = tables["referral"]
+    issue = F.struct("clientid", F.expr("issue").alias("clientissueid"))
+    events = referral.join(
+        table(spark, folder, "orders").selectExpr(
+            "o_orderkey AS referralinstanceid",
+            "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS issue",
+        ),
+        "referralinstanceid",
+    ).select(
+        "referralinstanceid",
+        F.array(cells("referral", referral)).alias("referral"),
+        F.array(issue).alias("clientissue"),
+    )
+    for name, (key, _) in CHILD_TABLES.items():
+        rows = tables[name]
+        per_event = rows.groupBy(key).agg(F.collect_list(cells(name, rows)).alias(name))
+        events = events.join(per_event, key, "left")
+    clients = tables["client"].select(F.array(cells("client", tables["client"])).alias("client"))
+    return events.drop("referralinstanceid").unionByName(clients, allowMissingColumns=True)
 
 
 def _payload_lines(spark, folder):
-    body = payload_rows(spark, folder).drop("clientid")
-    return body.select(F.to_json(F.struct("*")).alias("body"))
+    return payload_rows(spark, folder).select(F.to_json(F.struct("*")).alias("body"))
 
 
 @query(
@@ -394,6 +410,17 @@ def json_file_tables(spark, folder):
     )
 
 
+@query("payload_feature_matrix", _feature_sql(()))
+def payload_feature_matrix(spark, folder):
+    """JSON text to tables to features, with feature state that went through storage."""
+    staged = durable(parse_payloads(_payload_lines(spark, folder), "body"), "payloads")
+    tables = payload_tables(staged)
+    path = _scratch(spark, "features")
+    FeaturePipeline.fit(tables, AS_OF).save(spark, path)
+    features = FeaturePipeline.load(spark, path)
+    return features.transform(tables).select(MASTER.event_id, *features.column_schema)
+
+
 # --------------------------------------------------------------------------------------- models
 
 

@@ -63,36 +63,3 @@ def age_years(as_of: Column, birth: Column) -> Column:
     age = years_since(as_of, birth)
     return F.when(age < 0, age + 100).otherwise(age)
 
-
-def frame(start: str, end: str) -> str:
-    return f"RANGE BETWEEN {start} AND {end}"
-
-
-def frame_days_ahead(window: int) -> str:
-    """Frame of events at most ``window`` whole days later, this moment included."""
-    return frame("CURRENT ROW", f"{_last_moment(window)} FOLLOWING")
-
-
-def frame_days_ahead_after(window: int) -> str:
-    """The same frame without this moment."""
-    return frame(f"{_MOMENT} FOLLOWING", f"{_last_moment(window)} FOLLOWING")
-
-
-def frame_days_back(window: int) -> str:
-    return frame(f"{_last_moment(window)} PRECEDING", "CURRENT ROW")
-
-
-def frame_days_back_before(window: int) -> str:
-    return frame(f"{_last_moment(window)} PRECEDING", f"{_MOMENT} PRECEDING")
-
-
-def frame_months_back(months: int) -> str:
-    return frame(f"INTERVAL '{int(months)}' MONTH PRECEDING", "CURRENT ROW")
-
-
-_MOMENT = "INTERVAL '0 00:00:00.000001' DAY TO SECOND"
-
-
-def _last_moment(window: int) -> str:
-    # Timestamps have microseconds: this is the last offset whose whole days equal ``window``.
-    return f"INTERVAL '{int(window)} 23:59:59.999999' DAY TO SECOND"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
-from revisit.functions.columns import quoted, quoted_all, ref
+from revisit.functions.columns import quoted_all, ref
 from revisit.operators import hot
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, by_heat
 from revisit.operators.ranks import average_rank
@@ -166,12 +166,16 @@ def _count_ahead(events, cols, window, break_days, policy):
                 F.lit(0),
             ).alias("_cut"),
         )
-        return flagged.select(
+        placed = flagged.select(
+            "*",
+            F.rank().over(_by_ts(cols)).alias("_rank"),
+            F.sum("_cut").over(_so_far(cols)).alias("_cuts"),
+        )
+        end = ts + clock.days(window + 1)
+        return _until(placed, cols, end, {"_n": "1", "_cut": "_cut"}, False).select(
             *quoted_all(part.columns),
-            (_framed("count(1)", cols, clock.frame_days_ahead(window)) - 1).alias("_events"),
-            F.coalesce(
-                _framed("sum(_cut)", cols, clock.frame_days_ahead_after(window)), F.lit(0)
-            ).alias("_gaps"),
+            (F.col("until__n") - F.col("_rank")).alias("_events"),
+            (F.col("until__cut") - F.col("_cuts")).alias("_gaps"),
         )
 
     def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
@@ -210,19 +214,24 @@ def look_back(
 
     def ordinary(part: DataFrame) -> DataFrame:
         ts = ref(cols.ts)
+        before = clock.elapsed_days(ts, F.lag(ts).over(_by_id(cols))) > break_days
+        after = clock.elapsed_days(F.lead(ts).over(_by_id(cols)), ts) > break_days
         flagged = part.select(
             "*",
-            F.coalesce(
-                (clock.elapsed_days(F.lead(ts).over(_by_id(cols)), ts) > break_days).cast("int"),
-                F.lit(0),
-            ).alias("_cut_next"),
+            F.coalesce(before.cast("int"), F.lit(0)).alias("_cut"),
+            F.coalesce(after.cast("int"), F.lit(0)).alias("_cut_next"),
+        )
+        placed = flagged.select(
+            "*",
+            F.count(F.lit(1)).over(_so_far(cols)).alias("_seen"),
+            F.sum("_cut").over(_so_far(cols)).alias("_cuts"),
         )
-        return flagged.select(
+        begin = ts - clock.days(window + 1)
+        sums = {"_n": "1", "_cut_next": "_cut_next"}
+        return _until(placed, cols, begin, sums, True).select(
             *quoted_all(part.columns),
-            _framed("count(1)", cols, clock.frame_days_back(window)).alias("_events"),
-            F.coalesce(
-                _framed("sum(_cut_next)", cols, clock.frame_days_back_before(window)), F.lit(0)
-            ).alias("_gaps"),
+            (F.col("_seen") - F.col("until__n")).alias("_events"),
+            (F.col("_cuts") - F.col("until__cut_next")).alias("_gaps"),
         )
 
     def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
@@ -263,8 +272,11 @@ def events_in_last_months(
     """Add the number of the entity's events in the last ``months`` months, this one included."""
 
     def ordinary(part: DataFrame) -> DataFrame:
-        framed = _framed("count(1)", cols, clock.frame_months_back(months))
-        return part.select("*", framed.alias(name))
+        placed = part.select("*", F.count(F.lit(1)).over(_so_far(cols)).alias("_seen"))
+        begin = ref(cols.ts) - F.expr(f"INTERVAL '{int(months)}' MONTH")
+        return _until(placed, cols, begin, {"_n": "1"}, False).select(
+            *quoted_all(part.columns), (F.col("_seen") - F.col("until__n")).alias(name)
+        )
 
     def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
         places = _points(_base(part, cols, policy), cols, 1, policy)
@@ -314,9 +326,9 @@ def weekly_counts(
         counts = [F.count(F.lit(1)).over(by_week.rangeBetween(1 - n, 0)) for n in windows]
         if strict_past:
             in_week = Window.partitionBy(ref(cols.entity), F.col("_week")).orderBy(ref(cols.ts))
-            later = F.count(F.lit(1)).over(
-                in_week.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-            ) - F.count(F.lit(1)).over(in_week.rangeBetween(Window.currentRow, Window.currentRow))
+            whole = in_week.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            upto = in_week.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            later = F.count(F.lit(1)).over(whole) - F.count(F.lit(1)).over(upto)
             counts = [c - later for c in counts]
         return placed.select(
             *quoted_all(part.columns), *[c.alias(n) for c, n in zip(counts, names)]
@@ -408,10 +420,44 @@ def _base(part: DataFrame, cols: EventColumns, policy: HotPolicy) -> DataFrame:
     return policy.base(part, [cols.event_id, cols.entity, cols.ts])
 
 
-def _framed(function: str, cols: EventColumns, frame: str) -> Column:
-    # SQL text, because the Window builder takes no interval bounds.
-    return F.expr(
-        f"{function} OVER (PARTITION BY {quoted(cols.entity)} ORDER BY {quoted(cols.ts)} {frame})"
+def _so_far(cols: EventColumns):
+    return _by_ts(cols).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _until(part, cols, at: Column, sums: dict[str, str], inclusive: bool) -> DataFrame:
+    """Add ``until_<name>``: the sum over the entity's events before ``at`` (or not after it).
+
+    A frame with two moving ends is summed anew for every row, which is quadratic in the history.
+    Here each event is followed by a probe placed at ``at``; one running sum over both answers
+    all probes in a single sorted pass. Both rows stay in the entity's partition.
+    """
+    rows = part.select(
+        ref(cols.entity).alias("_entity"),
+        ref(cols.ts).alias("_ts"),
+        at.alias("_end"),
+        *[F.expr(e).cast("bigint").alias("_w" + n) for n, e in sums.items()],
+        F.struct(*quoted_all(part.columns)).alias("_row"),
+    )
+    weights = [f"_w{n}" for n in sums]
+    point = ", ".join(["1 AS _side", "_ts AS _at", *weights, "IF(FALSE, _row, NULL) AS _row"])
+    side = 2 if inclusive else 0
+    ask = ", ".join([f"{side} AS _side", "_end AS _at", *[f"0L AS {w}" for w in weights], "_row"])
+    both = rows.selectExpr("_entity", f"inline(array(struct({point}), struct({ask})))")
+    running = (
+        Window.partitionBy("_entity")
+        .orderBy("_at", "_side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    answered = both.select(
+        "*", *[F.sum("_w" + n).over(running).alias("until_" + n) for n in sums]
+    ).where(F.col("_side") == side)
+    # The entity is not read from the struct: Spark then still knows how rows are partitioned.
+    return answered.select(
+        *[
+            (F.col("_entity") if c == cols.entity else F.col("_row").getField(c)).alias(c)
+            for c in part.columns
+        ],
+        *["until_" + n for n in sums],
     )
 
 

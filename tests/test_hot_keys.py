@@ -93,8 +93,10 @@ def test_null_key_is_never_hot(spark):
 
 
 def test_ordinary_plan_has_one_shuffle_by_entity(spark, tiny):
-    made = timeline.burst_features(orders(spark, tiny), ORDERS, policy=NONE_HOT)
-    made = timeline.look_ahead(made, ORDERS, policy=NONE_HOT)
+    made = timeline.look_ahead(orders(spark, tiny), ORDERS, policy=NONE_HOT)
+    made = timeline.burst_features(made, ORDERS, policy=NONE_HOT)
+    made = timeline.weekly_counts(made, ORDERS, policy=NONE_HOT)
+    made = timeline.look_back(made, ORDERS, policy=NONE_HOT)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan

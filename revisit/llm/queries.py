@@ -4,12 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revisit.llm import simhash
+from revisit.llm import backoff_lm, fertility, simhash, substring_dedup, token_files
 from revisit.llm.registry import LLM_ORACLES, LLM_QUERIES, query, table
+from revisit.plans.durable import new_path
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, folder):
+    made = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return made.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"), "spans")
+
+
+@query("op2_fertility")
+def op2_fertility(spark, folder):
+    return fertility.judged(table(spark, folder, "documents"))
+
+
+@query("op6_backoff_lm")
+def op6_backoff_lm(spark, folder):
+    return backoff_lm.score_texts(table(spark, folder, "documents"))
+
+
+@query("op8_token_files")
+def op8_token_files(spark, folder):
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path)
+    made = token_files.with_crc32(token_files.read_tokens(spark, path))
+    return made.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op10_simhash")
 def op10_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))

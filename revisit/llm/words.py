@@ -107,7 +107,9 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, np.flatnonzero(final) + 1, np.searchsorted(starts, bounds))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+def text_slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2 << 20
+) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -122,7 +124,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
-
-
-def text_slices(batches, text: str = "text", size: int = 4 << 20):
-    return slices(batches, text, size)

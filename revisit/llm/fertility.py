@@ -148,7 +148,8 @@ def measure(texts: pa.Array, piece_path: str, byte_path: str) -> list[pa.Array]:
     token_doc = np.repeat(doc, pieces.size[place])
     fallback = np.bincount(token_doc[(ids >= _FIRST_BYTE) & (ids <= _LAST_BYTE)], minlength=n_docs)
     shannon, collision = _entropies(token_doc, ids.astype(np.int64), n_docs)
-    n_pairs = _per_doc(pairs.size[pairs.places(words)], first)
+    pair_place = pairs.places(words)
+    n_pairs = _per_doc(pairs.size[pair_place], first)
     whole = lambda x: pa.array(np.asarray(x, np.int64))
     return [
         whole(words.counts()),

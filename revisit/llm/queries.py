@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revisit.llm import backoff_lm, fertility, simhash, substring_dedup, token_files
+from revisit.llm import (
+    backoff_lm,
+    density,
+    fertility,
+    lattice,
+    simhash,
+    snapshots,
+    substring_dedup,
+    token_files,
+)
 from revisit.llm.registry import LLM_ORACLES, LLM_QUERIES, query, table
 from revisit.plans.durable import new_path
 
@@ -23,11 +32,37 @@ def op2_fertility(spark, folder):
     return fertility.judged(table(spark, folder, "documents"))
 
 
+# Conversations compared turn by turn, in place of hashes.
+_SNAPSHOTS = """
+    WITH conv AS (
+      SELECT conv_id, list(struct_pack(role, text) ORDER BY turn) AS said,
+             string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), ''
+                        ORDER BY turn) AS chat
+      FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id)
+    SELECT min(conv_id) AS conv_id, len(said) AS n_turns, count(*) AS n_copies, min(chat) AS chat
+    FROM conv c
+    WHERE NOT EXISTS (
+      SELECT 1 FROM conv l
+      WHERE l.said[1] = c.said[1] AND len(l.said) > len(c.said) AND l.said[1:len(c.said)] = c.said)
+    GROUP BY said"""
+
+
+@query("op3_snapshots", _SNAPSHOTS)
+def op3_snapshots(spark, folder):
+    return snapshots.rendered(table(spark, folder, "conversations"))
+
+
 @query("op6_backoff_lm")
 def op6_backoff_lm(spark, folder):
     return backoff_lm.score_texts(table(spark, folder, "documents"))
 
 
+@query("op7_lattice")
+def op7_lattice(spark, folder):
+    made = lattice.decoded(lattice.encode_sampled(table(spark, folder, "documents"), carry=("text",)))
+    return made.select("doc_id", "n_tokens", "ids", F.expr("decoded = text").alias("lossless"))
+
+
 @query("op8_token_files")
 def op8_token_files(spark, folder):
     path = new_path(spark, "token-files")
@@ -36,6 +71,11 @@ def op8_token_files(spark, folder):
     return made.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op9_density")
+def op9_density(spark, folder):
+    return density.extract(table(spark, folder, "pages"), carry=("url",))
+
+
 @query("op10_simhash")
 def op10_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from revisit.llm import (
     backoff_lm,
+    decontamination,
     density,
     fertility,
     lattice,
+    line_dedup,
     simhash,
     snapshots,
     substring_dedup,
@@ -52,6 +55,63 @@ def op3_snapshots(spark, folder):
     return snapshots.rendered(table(spark, folder, "conversations"))
 
 
+# Lines and their variants as lists of words, in place of hashes and halves. A place in the corpus
+# is one number: doc_id * 2**24 + line.
+_LINES = """
+    WITH line AS (
+      SELECT doc_id, i - 1 AS pos, regexp_extract_all(lower(s), '[^\\x20\\x09-\\x0D]+') AS w
+      FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS s,
+                   generate_subscripts(str_split(text, chr(10)), 1) AS i FROM documents)),
+    long_line AS (SELECT doc_id, pos, doc_id * 16777216 + pos AS place, w FROM line WHERE len(w) >= 5),
+    distinct_line AS (SELECT w, min(place) AS place FROM long_line GROUP BY w),
+    variant AS (
+      SELECT w, place, p, list_concat(w[1:p - 1], w[p + 1:]) AS v
+      FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS p FROM distinct_line)),
+    partner AS (
+      SELECT w, min(other) AS partner FROM (
+        SELECT a.w, b.place AS other FROM variant a
+        JOIN variant b ON a.p = b.p AND a.v = b.v AND b.place < a.place
+        UNION ALL
+        SELECT a.w, d.place FROM variant a JOIN distinct_line d ON a.v = d.w AND d.place < a.place
+        UNION ALL
+        SELECT d.w, b.place FROM distinct_line d JOIN variant b ON d.w = b.v AND b.place < d.place)
+      GROUP BY w)
+    SELECT l.doc_id, l.pos AS line, coalesce(partner, d.place) // 16777216 AS kept_doc_id,
+           coalesce(partner, d.place) % 16777216 AS kept_line, partner IS NULL AS exact
+    FROM long_line l JOIN distinct_line d USING (w) LEFT JOIN partner USING (w)
+    WHERE partner IS NOT NULL OR l.place <> d.place"""
+
+
+@query("op4_line_dedup", _LINES)
+def op4_line_dedup(spark, folder):
+    gone = line_dedup.repeated_lines(table(spark, folder, "documents"))
+    whole = {c: F.col(c).cast("bigint") for c in ("line", "kept_line")}
+    return gone.withColumns(whole)
+
+
+# Every shingle of every item looked up in every document.
+_CONTAINED = """
+    WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+    item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+    item_shingle AS (
+      SELECT DISTINCT item_id, least(len(w), 5) AS width, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM item WHERE len(w) > 0)),
+    doc_shingle AS (
+      SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS s
+      FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+            FROM doc, (SELECT DISTINCT width FROM item_shingle))),
+    size AS (SELECT item_id, count(*) AS n_item FROM item_shingle GROUP BY 1)
+    SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+    FROM doc_shingle JOIN item_shingle USING (width, s) JOIN size USING (item_id)
+    GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item"""
+
+
+@query("op5_decontamination", _CONTAINED)
+def op5_decontamination(spark, folder):
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.contained_items(docs, items)
+
+
 @query("op6_backoff_lm")
 def op6_backoff_lm(spark, folder):
     return backoff_lm.score_texts(table(spark, folder, "documents"))
@@ -82,3 +142,6 @@ def op10_simhash(spark, folder):
     return found.select(
         "doc_id", simhash.hex16("fp").alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

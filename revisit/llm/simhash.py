@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revisit.llm.bounded import small
 from revisit.llm.components import components
 from revisit.llm.words import text_slices, words_of
 from revisit.plans.durable import durable
@@ -213,5 +214,21 @@ def near_duplicates(
     return prints.join(named, "fp").select(key, "fp", "component")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest key of each component, with all columns of ``docs``.
+
+    Of several rows with that key one stays. A row without a key cannot be named and stays.
+    """
+    found = durable(near_duplicates(docs.select(key, text), key, text).where(F.col(key).isNotNull()), "components")
+    gone = durable(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("gone key")).distinct(), "gone")
+    kept = docs.join(small(gone), docs[key] == gone["gone key"], "left_anti")
+    twice = found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("twice"))
+    twice = durable(twice, "repeated-keys")
+    if twice.isEmpty():
+        return kept
+    repeated = kept.join(twice, kept[key] == twice["twice"], "left_semi").dropDuplicates([key])
+    return kept.join(twice, kept[key] == twice["twice"], "left_anti").union(repeated)
+
+
 def hex16(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -14,11 +14,6 @@ _FIRST_MONDAY = "DATE'1970-01-05'"
 _FIRST_SUNDAY = "DATE'1970-01-11'"
 
 
-def parse_time(column: Column, strict: bool = True) -> Column:
-    """Text (or any time type) to ``TIMESTAMP_NTZ``; bad text fails, or is null if not strict."""
-    return column.cast("timestamp_ntz") if strict else column.try_cast("timestamp_ntz")
-
-
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole 24-hour periods from ``earlier`` to ``later``, rounded down (also below zero)."""
     gap = later - earlier

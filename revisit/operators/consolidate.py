@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from revisit.functions.columns import quoted_all, ref, with_prefix
 from revisit.operators.client import client_features, one_row_per_key
@@ -20,19 +21,26 @@ from revisit.schema import (
     CLIENT_ISSUE,
     CLIENT_KEY,
     MASTER,
+    TABLE_SCHEMAS,
+    payload_schema,
 )
 from revisit.sources.tables import check_tables, conform
 
 
 @dataclass
 class Consolidation:
-    """Fitted vocabularies (item -> rows at fit) and the moment that ages refer to."""
+    """Fitted vocabularies (item -> rows at fit) and the moment that ages refer to.
+
+    ``undeclared`` has, by table, the (name, type) of columns beyond the declared ones: they are
+    features of their own, so payloads to be scored are read with them.
+    """
 
     as_of: str
     encode_counts: bool = False
     children: dict[str, dict] = field(default_factory=dict)
     client_issues: dict = field(default_factory=dict)
     client: dict[str, dict] = field(default_factory=dict)
+    undeclared: dict[str, list] = field(default_factory=dict)
 
     # ------------------------------------------------------------------ fit
 
@@ -60,8 +68,13 @@ class Consolidation:
             children={name: counts[name] for name in CHILD_TABLES},
             client_issues=counts["clientissue"],
             client={c: counts["client " + c] for c in present},
+            undeclared=undeclared_columns(tables),
         )
 
+    def payload_schema(self) -> StructType:
+        """What payloads to be scored are read with."""
+        return payload_schema(self.undeclared)
+
     # ------------------------------------------------------------ transform
 
     def master(
@@ -155,5 +168,15 @@ class Consolidation:
             encode_counts=state["encode_counts"],
             children={k: dict(map(tuple, v)) for k, v in state["children"].items()},
             client_issues=dict(map(tuple, state["client_issues"])),
+            undeclared={k: list(map(tuple, v)) for k, v in state.get("undeclared", {}).items()},
             client={k: dict(map(tuple, v)) for k, v in state["client"].items()},
         )
+
+
+def undeclared_columns(tables: Mapping[str, DataFrame]) -> dict[str, list[tuple[str, str]]]:
+    found = {}
+    for name, schema in TABLE_SCHEMAS.items():
+        fields = [f for f in tables[name].schema if f.name not in schema.names]
+        if fields:
+            found[name] = [(f.name, f.dataType.simpleString()) for f in fields]
+    return found

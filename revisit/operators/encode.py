@@ -37,14 +37,23 @@ def fit_frequencies(
     return category_counts({column: (df, column)}, max_categories)[column]
 
 
-def count_encode(df: DataFrame, column: str, fitted: Mapping[object, int]) -> DataFrame:
-    """Replace values by their fitted frequency; values not seen at fit become null."""
-    kind = df.schema[column].dataType
-    schema = T.StructType(
-        [T.StructField(column, kind), T.StructField("_frequency", T.LongType())]
-    )
-    # At most max_categories rows, so Spark broadcasts it.
-    mapping = df.sparkSession.createDataFrame(sorted(fitted.items()), schema)
+def count_encode(
+    df: DataFrame, column: str, fitted: Mapping[object, int] | DataFrame
+) -> DataFrame:
+    """Replace values by their fitted frequency; values not seen at fit become null.
+
+    ``fitted`` is a small dictionary, or a table as ``frequencies`` gives it (saved as Parquet, for
+    example), which may be of any size and never passes through the driver.
+    """
+    if isinstance(fitted, DataFrame):
+        mapping = fitted.select(ref(column), F.col("frequency").alias("_frequency"))
+    else:
+        kind = df.schema[column].dataType
+        schema = T.StructType(
+            [T.StructField(column, kind), T.StructField("_frequency", T.LongType())]
+        )
+        # At most max_categories rows, so Spark broadcasts it.
+        mapping = df.sparkSession.createDataFrame(sorted(fitted.items()), schema)
     joined = df.join(mapping, column, "left")
     return joined.select(
         *[F.col("_frequency").alias(c) if c == column else ref(c) for c in df.columns]

@@ -25,8 +25,11 @@ def score_ratio(
 
 
 def flag_threshold(rows: DataFrame, ratio: str = "score_ratio", flag_share: float = 0.1):
-    """The ratio that ``flag_share`` of the rows exceed; exact, by counting passes."""
-    return exact_quantile(rows, ratio, 1 - flag_share)
+    """The ratio that ``flag_share`` of the rows exceed; exact, by counting passes.
+
+    Rows without a ratio, or with NaN, do not count.
+    """
+    return exact_quantile(rows.where(~F.isnan(ref(ratio))), ratio, 1 - flag_share)
 
 
 def flag_over(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import columns_like, named, quoted, quoted_all, ref
@@ -56,7 +56,8 @@ def split_current_ever(
     others = quoted_all(c for c in events.columns if c not in set(picked))
     current = [named(quoted(c), c + "_current") for c in picked]
     order = f"PARTITION BY {quoted(cols.entity)} ORDER BY {quoted(cols.ts)}, {quoted(cols.event_id)}"
-    running = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    # Rows of equal time and id see each other, as in the comparison with the first sight.
+    running = f"OVER ({order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
     def by_windows(part: DataFrame) -> DataFrame:
         ever = [
@@ -87,3 +88,38 @@ def split_current_ever(
     rest = events.where(ref(cols.entity).isNull() | ref(cols.ts).isNull())
     never = [named("FALSE", c + "_ever") for c in picked]
     return split.unionByName(rest.selectExpr(*others, *current, *never))
+
+
+def distinct_items_seen(
+    events: DataFrame,
+    cols: EventColumns,
+    items: DataFrame,
+    key: str,
+    item: str,
+    name: str = "items_seen",
+) -> DataFrame:
+    """Add how many distinct items the entity has had up to and including this event.
+
+    The long form of ever-seen flags: ``items`` has rows (event id ``key``, ``item``), and no item
+    becomes a column, so a vocabulary may be of any size. Each entity's items are reduced to their
+    first sightings in (time, id) order; the sightings are added up along the history. Null items
+    do not count; rows without entity or time have seen nothing.
+    """
+    valid = valid_events(events, cols)
+    moment = F.struct(ref(cols.ts).alias("ts"), ref(cols.event_id).alias("id"))
+    places = valid.select(ref(cols.entity).alias("_entity"), moment.alias("_moment"))
+    held = items.where(ref(item).isNotNull()).select(ref(key).alias("_key"), ref(item).alias("_item"))
+    sighted = places.join(held, F.col("_moment.id") == F.col("_key"))
+    firsts = sighted.groupBy("_entity", "_item").agg(F.min("_moment").alias("_moment"))
+    new = firsts.groupBy("_entity", "_moment").agg(F.count(F.lit(1)).alias("_new"))
+    same = (F.col("_entity") == ref(cols.entity)) & moment.eqNullSafe(F.col("_moment"))
+    # Several rows of one event share its sightings; only the first of them adds.
+    history = Window.partitionBy(ref(cols.entity)).orderBy(ref(cols.ts), ref(cols.event_id))
+    peers = Window.partitionBy(ref(cols.entity), ref(cols.ts), ref(cols.event_id)).orderBy(F.lit(1))
+    counted = valid.join(new, same, "left").withColumn(
+        "_new", F.when(F.row_number().over(peers) == 1, F.coalesce("_new", F.lit(0))).otherwise(0)
+    )
+    upto = history.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = counted.select(*quoted_all(events.columns), F.sum("_new").over(upto).alias(name))
+    rest = events.where(ref(cols.entity).isNull() | ref(cols.ts).isNull())
+    return seen.unionByName(rest.withColumn(name, F.lit(0).cast("bigint")))

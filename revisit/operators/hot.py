@@ -220,7 +220,11 @@ def sums_at(
     ``until_<column>``. Points and probes meet in one shuffle by (key, chunk).
     """
     kept = probes.columns
-    bounds = chunk_bounds(points, keys, at, policy)
+    # Probes lie up to a whole window away from their points, so both are balanced together.
+    places = points.select(*[ref(k) for k in keys], ref(at).alias("_at")).union(
+        probes.select(*[ref(k) for k in keys], ref(probe_at).alias("_at"))
+    )
+    bounds = chunk_bounds(places, keys, "_at", policy)
     zero = [F.lit(0).cast("bigint").alias(s) for s in sums]
     point_rows = points.select(
         *[ref(k) for k in keys], ref(at).alias("_at"), F.lit(1).alias("_side"),

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revisit.functions.columns import quoted_all, ref
 from revisit.functions.time import epoch_micros
@@ -21,22 +22,24 @@ def average_rank(
     descending: bool = False,
     policy: HotPolicy = DEFAULT_POLICY,
     size: str | None = None,
+    ties: str = "mean",
 ) -> DataFrame:
     """Add the rank of ``value`` in its group; equal values share the mean of their places.
 
-    Null values have a null rank and take no place. ``size`` names a column for the number of
-    rows of the group.
+    With ``ties`` "first" they share the first of them. Null values have a null rank and take no
+    place. ``size`` names a column for the number of rows of the group.
     """
     group = list(group)
+    mean = {"mean": 1, "first": 0}[ties]
 
     def ordinary(part: DataFrame) -> DataFrame:
         order = ref(value).desc_nulls_last() if descending else ref(value).asc_nulls_last()
         by_value = Window.partitionBy(*[ref(g) for g in group]).orderBy(order)
-        ties = F.count(F.lit(1)).over(by_value.rangeBetween(0, 0))
-        mean_place = F.rank().over(by_value) + (ties - 1) / F.lit(2.0)
+        equal = F.count(F.lit(1)).over(by_value.rangeBetween(0, 0))
+        place = F.rank().over(by_value) + mean * (equal - 1) / F.lit(2.0)
         whole = by_value.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         sizes = [F.count(F.lit(1)).over(whole).alias(size)] if size else []
-        return part.select("*", _where_set(value, mean_place).alias(name), *sizes)
+        return part.select("*", _where_set(value, place).alias(name), *sizes)
 
     def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
         points = (
@@ -54,7 +57,7 @@ def average_rank(
         places = placed.select(
             *[ref(g) for g in group],
             ref(value),
-            (first + (F.col("_ties") + 1) / F.lit(2.0)).alias(name),
+            (first + 1 + mean * (F.col("_ties") - 1) / F.lit(2.0)).alias(name),
         )
         joined = part.join(places, [*group, value], "left")
         if not size:
@@ -78,16 +81,30 @@ _EPOCH = datetime(1970, 1, 1)
 def order_statistic(rows: DataFrame, value: str, place: int):
     """Exact ``place``-th smallest non-null value (from 0), and how many rows are below it.
 
-    ``value`` is an integer, a finite double or a ``TIMESTAMP_NTZ``. Each pass is one
+    ``value`` is an integer, a double or a ``TIMESTAMP_NTZ``. Doubles are ordered as Spark sorts
+    them: -infinity, finite values (with -0.0 equal to 0.0), infinity, NaN. Each pass is one
     aggregation into at most 4096 buckets between the current bounds and narrows the bounds to
     the bucket that holds the place; the bounds are a filter the scan can use. Rows are never
     sorted or moved, except for the last few thousand distinct values.
     """
     current = rows.where(ref(value).isNotNull()).select(ref(value).alias("v"))
-    low, high, count = current.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    if not 0 <= place < count:
-        raise ValueError(f"place {place} is outside 0..{count - 1}")
     below = 0
+    if current.schema["v"].dataType in (T.DoubleType(), T.FloatType()):
+        current = current.select(F.col("v").cast("double").alias("v"))
+        v, infinite = F.col("v"), F.lit(float("inf"))
+        finite = ~F.isnan(v) & (F.abs(v) != infinite)
+        lowest, usual, highest, count = current.agg(
+            F.count_if(v == -infinite), F.count_if(finite), F.count_if(v == infinite), F.count("v")
+        ).first()
+        _check_place(place, count)
+        if place < lowest:
+            return float("-inf"), 0
+        if place >= lowest + usual:
+            top = place < lowest + usual + highest
+            return (float("inf"), lowest + usual) if top else (float("nan"), lowest + usual + highest)
+        current, below = current.where(finite), lowest
+    low, high, count = current.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    _check_place(place - below, count)
     while low != high and count > _FEW:
         current = current.where(F.col("v").between(_literal(low), _literal(high)))
         parts = (
@@ -96,6 +113,8 @@ def order_statistic(rows: DataFrame, value: str, place: int):
             .orderBy("b")
             .collect()  # at most 4096 rows
         )
+        if len(parts) < 2:
+            raise RuntimeError("the rows changed between passes")
         for part in parts:
             if place < below + part.n:
                 break
@@ -111,11 +130,19 @@ def order_statistic(rows: DataFrame, value: str, place: int):
     raise RuntimeError("the rows changed between passes")
 
 
+def _check_place(place: int, count: int) -> None:
+    if not 0 <= place < count:
+        raise ValueError(f"place {place} is outside 0..{count - 1}")
+
+
 def _bucket(low, high) -> Column:
-    """Bucket number, never falling as the value grows; ``low`` and ``high`` differ."""
+    """Bucket number, never falling as the value grows; the first for ``low``, the last for ``high``."""
     v = F.col("v")
     if isinstance(low, float):
-        return F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(_BUCKETS - 1))
+        # Halves, since the range of doubles may be too wide for one; whole where they vanish.
+        half = 0.5 if high / 2 - low / 2 >= 1e-300 else 1.0
+        share = (v * half - F.lit(low * half)) / F.lit(high * half - low * half)
+        return F.floor(share * F.lit(_BUCKETS - 1))
     if isinstance(low, datetime):
         v, low, high = epoch_micros(v), _micros(low), _micros(high)
     step = (high - low) // _BUCKETS + 1
@@ -149,4 +176,6 @@ def exact_quantile(rows: DataFrame, value: str, share: float) -> float | None:
         F.count_if(ref(value) <= F.lit(low)), F.min(F.when(ref(value) > F.lit(low), ref(value)))
     ).first()
     high = low if upto > place + 1 else above
+    if high == low:
+        return float(low)  # also where both are infinite
     return float(low) + (float(high) - float(low)) * part

@@ -35,20 +35,24 @@ def event_ordinal(
     name: str = "ordinal",
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Position of the event in its entity's history, ordered by time and then id."""
+    """Position of the event in its entity's history, ordered by time and then id.
+
+    Rows of equal time and id share the first of their positions; null ids come last in their time.
+    """
 
     def ordinary(part: DataFrame) -> DataFrame:
-        return part.select("*", F.row_number().over(_by_id(cols)).cast("bigint").alias(name))
+        return part.select("*", F.rank().over(_by_id(cols)).cast("bigint").alias(name))
 
     def heavy(part: DataFrame, policy: HotPolicy) -> DataFrame:
         places = _points(_base(part, cols, policy), cols, 1, policy)
-        places = places.select(ref(cols.entity), ref(cols.ts), "_before")
+        places = places.select(ref(cols.entity), ref(cols.ts), "_before", "_ids")
         ranked = average_rank(
-            part, [cols.entity, cols.ts], cols.event_id, "_place", policy=policy.for_other_keys()
+            part, [cols.entity, cols.ts], cols.event_id, "_place", ties="first",
+            policy=policy.for_other_keys(),
         )
+        place = F.coalesce(F.col("_place"), F.col("_ids") + 1)
         return ranked.join(places, [cols.entity, cols.ts]).select(
-            *quoted_all(part.columns),
-            (F.col("_before") + F.col("_place")).cast("bigint").alias(name),
+            *quoted_all(part.columns), (F.col("_before") + place).cast("bigint").alias(name)
         )
 
     return by_heat(valid_events(events, cols), [cols.entity], ordinary, heavy, policy)
@@ -65,7 +69,8 @@ def burst_features(
     """Add the six sequence features.
 
     A burst ends when more than ``break_days`` whole days pass without an event. With ``start``,
-    the referral number counts only events from that moment on and is null before it.
+    the referral number counts only events from that moment on and is null before it. The gap
+    before a moment is reported on its events with the smallest id, null where all are.
     """
 
     def ordinary(part: DataFrame) -> DataFrame:
@@ -88,10 +93,14 @@ def _burst_windows(part, cols, break_days, start, prefix):
         "*",
         F.coalesce(clock.elapsed_days(ts, F.lag(ts).over(by_id)), F.lit(0)).alias("_gap"),
         F.count(F.lit(1)).over(by_ts.rangeBetween(0, 0)).alias("_n"),
+        F.min(ref(cols.event_id)).over(by_ts.rangeBetween(0, 0)).alias("_first_id"),
         F.count(F.lit(1)).over(whole).alias("_total"),
         F.rank().over(by_ts).alias("_rank"),
         F.sum(from_start).over(upto).alias("_counted"),
     )
+    # The first row of a moment has the gap before it, the moment's other rows have zero.
+    here = F.max("_gap").over(by_ts.rangeBetween(0, 0))
+    reported = F.when(ref(cols.event_id).eqNullSafe(F.col("_first_id")), here).otherwise(0)
     cut = F.col("_gap") > break_days
     running = by_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = F.coalesce(F.max(F.when(cut, F.col("_rank") - 1)).over(running), F.lit(0))
@@ -100,8 +109,8 @@ def _burst_windows(part, cols, break_days, start, prefix):
     return gaps.select(
         *quoted_all(part.columns),
         (number if start is None else F.when(ts >= start, number)).alias(prefix + "referralnumber"),
-        F.col("_gap").alias(prefix + "dayssincelastreferral"),
-        cut.alias(prefix + "startofburst"),
+        reported.alias(prefix + "dayssincelastreferral"),
+        (reported > break_days).alias(prefix + "startofburst"),
         (F.sum(cut.cast("bigint")).over(running) + 1).alias(prefix + "burstnumber"),
         (F.col("_rank") - 1 - base + tie_mean).alias(prefix + "indexinburst"),
         F.col("_total").alias(prefix + "totalreferralsforclient"),
@@ -110,7 +119,7 @@ def _burst_windows(part, cols, break_days, start, prefix):
 
 def _burst_points(part, cols, break_days, start, prefix, policy):
     places = _points(_base(part, cols, policy), cols, break_days, policy, start)
-    first = ref(cols.event_id) == F.col("_first_id")
+    first = ref(cols.event_id).eqNullSafe(F.col("_first_id"))
     tie_mean = (F.col("_n") + 1) / F.lit(2.0)
     number = F.col("_before") - F.col("_uncounted") + tie_mean
     gap = F.coalesce(clock.elapsed_days(ref(cols.ts), F.col("_prev")), F.lit(0))
@@ -409,7 +418,8 @@ def dense_weekly_totals(events: DataFrame, cols: EventColumns) -> DataFrame:
 
 
 def _by_id(cols: EventColumns):
-    return Window.partitionBy(ref(cols.entity)).orderBy(ref(cols.ts), ref(cols.event_id))
+    by_id = ref(cols.event_id).asc_nulls_last()
+    return Window.partitionBy(ref(cols.entity)).orderBy(ref(cols.ts), by_id)
 
 
 def _by_ts(cols: EventColumns):
@@ -464,8 +474,8 @@ def _until(part, cols, at: Column, sums: dict[str, str], inclusive: bool) -> Dat
 def _points(events, cols, break_days, policy, start: Column | None = None) -> DataFrame:
     """One row per (entity, time) with everything the sequence says about that moment.
 
-    ``_n`` events here, ``_first_id`` smallest id, ``_before`` events earlier, ``_prev`` and
-    ``_next`` neighbouring times, ``_cut`` / ``_cut_next`` gap over ``break_days`` before / after,
+    ``_n`` events here, ``_first_id`` smallest id, ``_ids`` events with an id, ``_before`` events
+    earlier, ``_prev`` and ``_next`` neighbouring times, ``_cut`` / ``_cut_next`` gap over ``break_days`` before / after,
     ``_cuts`` gaps so far, ``_burst_base`` events before the current burst, ``_total`` events of
     the entity, ``_uncounted`` events of the entity before ``start``.
     """
@@ -474,6 +484,7 @@ def _points(events, cols, break_days, policy, start: Column | None = None) -> Da
     points = events.groupBy(ref(cols.entity), ref(at)).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(ref(cols.event_id)).alias("_first_id"),
+        F.count(ref(cols.event_id)).alias("_ids"),
         F.sum(early).alias("_early"),
     )
     bounds = hot.chunk_bounds(points, keys, at, policy)
@@ -539,6 +550,7 @@ def _points(events, cols, break_days, policy, start: Column | None = None) -> Da
         ref(at),
         "_n",
         "_first_id",
+        "_ids",
         "_total",
         "_uncounted",
         previous.alias("_prev"),

@@ -19,8 +19,9 @@ def score_payloads(model: ScoringModel, payloads: DataFrame) -> DataFrame:
 
 
 def score_json(model: ScoringModel, rows: DataFrame, column: str) -> DataFrame:
-    """Scores for payloads held as JSON text."""
-    return score_payloads(model, parse_payloads(rows, column))
+    """Scores for payloads held as JSON text, read with all columns the model knows."""
+    schema = model.features.consolidation.payload_schema()
+    return score_payloads(model, parse_payloads(rows, column, schema))
 
 
 def support_flags(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -145,6 +146,16 @@ TABLE_SCHEMAS: dict[str, T.StructType] = {
 }
 REQUIRED_TABLES = tuple(TABLE_SCHEMAS)
 
-PAYLOAD_SCHEMA = T.StructType(
-    [T.StructField(name, T.ArrayType(kind), True) for name, kind in TABLE_SCHEMAS.items()]
-)
+
+
+def payload_schema(more: Mapping[str, Sequence[tuple[str, str]]] | None = None) -> T.StructType:
+    """The nested schema of the declared columns and of ``more``: (name, type) by table."""
+    fields = []
+    for name, declared in TABLE_SCHEMAS.items():
+        own = [T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in (more or {}).get(name, ())]
+        row = T.StructType([*declared.fields, *own])
+        fields.append(T.StructField(name, T.ArrayType(row), True))
+    return T.StructType(fields)
+
+
+PAYLOAD_SCHEMA = payload_schema()

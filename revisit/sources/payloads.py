@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revisit.functions.columns import ref
-from revisit.schema import PAYLOAD_SCHEMA, REQUIRED_TABLES
+from revisit.schema import PAYLOAD_SCHEMA, REQUIRED_TABLES, TABLE_SCHEMAS, payload_schema
 
 
 def read_payloads(
@@ -44,6 +44,32 @@ def _unwrapped(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
 
 
+def inferred_schema(spark: SparkSession, path: str, multi_line: bool = False) -> T.StructType:
+    """The declared columns with their types and all others that the files hold, by one pass."""
+    found = spark.read.option("multiLine", multi_line).json(path).schema
+    return with_undeclared(found)
+
+
+def inferred_text_schema(rows: DataFrame, column: str) -> T.StructType:
+    """The same for JSON text in a column."""
+    whole = F.expr("schema_of_variant_agg(_body)")
+    found = rows.select(F.parse_json(_unwrapped(ref(column))).alias("_body")).agg(whole).first()[0]
+    kind = T.DataType.fromDDL((found or "STRUCT<>").replace("OBJECT<", "STRUCT<"))
+    return with_undeclared(kind if isinstance(kind, T.StructType) else T.StructType())
+
+
+def with_undeclared(found: T.StructType) -> T.StructType:
+    more = {}
+    for field in found:
+        name, kind = field.name.lower(), field.dataType
+        if name in TABLE_SCHEMAS and isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StructType):
+                declared = set(TABLE_SCHEMAS[name].names)
+                own = [f for f in kind.elementType if f.name.lower() not in declared]
+                more[name] = [(f.name, f.dataType.simpleString()) for f in own]
+    return payload_schema(more)
+
+
 def payload_tables(payloads: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     """The tables inside the payloads; a missing or empty array gives no rows.
 

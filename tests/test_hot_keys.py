@@ -100,3 +100,75 @@ def test_ordinary_plan_has_one_shuffle_by_entity(spark, tiny):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Histories with repeated and null ids, at gaps and inside moments."""
+    return spark.sql(
+        """
+        SELECT CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN id - 1 ELSE id END AS event_id,
+               id % 3 AS user_id,
+               TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(CAST(pow(id DIV 6, 2) AS INT)) AS ts
+        FROM range(60)
+        UNION ALL SELECT 900L, 1L, TIMESTAMP_NTZ'2024-01-01 00:00:00' FROM range(3)
+        UNION ALL SELECT NULL, 2L, TIMESTAMP_NTZ'2024-01-01 00:00:00' FROM range(2)"""
+    ).cache()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_repeated_and_null_ids(awkward, name):
+    run = OPERATORS[name]
+    same(run(awkward, NONE_HOT), run(awkward, ALL_HOT))
+
+
+def test_repeated_ids_share_place_and_gap(awkward):
+    rows = timeline.burst_features(timeline.event_ordinal(awkward, EVENTS, policy=NONE_HOT), EVENTS, policy=NONE_HOT)
+    last = rows.where("event_id = 900").collect()
+    assert len({r.ordinal for r in last}) == 1
+    assert all(r.timefeature_startofburst for r in last)
+    assert len({r.timefeature_burstnumber for r in last}) == 1
+
+
+def test_ever_flags_agree_on_repeated_ids(spark, monkeypatch):
+    from revisit.operators import history
+
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1L, 1L, TIMESTAMP_NTZ'2020-01-01 00:00:00', 0, 0),"
+        " (1L, 1L, TIMESTAMP_NTZ'2020-01-01 00:00:00', 2, 0), (NULL, 1L, TIMESTAMP_NTZ'2020-01-01 00:00:00', 0, 1),"
+        " (3L, 1L, TIMESTAMP_NTZ'2020-01-02 00:00:00', 0, 0) AS t(event_id, user_id, ts, kind_a, kind_b)"
+    )
+    made = [history.split_current_ever(rows, EVENTS, ["kind_"], NONE_HOT)]
+    monkeypatch.setattr(history, "WIDE", 0)
+    made.append(history.split_current_ever(rows, EVENTS, ["kind_"], NONE_HOT))
+    made.append(history.split_current_ever(rows, EVENTS, ["kind_"], ALL_HOT))
+    same(made[0], made[1])
+    same(made[0], made[2])
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_chunks_are_even_when_probes_lie_a_window_away(spark, monkeypatch, ahead):
+    """20,000 events in one year: all probes lie beyond the points, or before them."""
+    rows = spark.sql(
+        "SELECT id AS event_id, 1L AS user_id,"
+        " TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id * 26 AS INT)) AS ts"
+        " FROM range(20000)"
+    )
+    sizes = []
+    plain = hot.into_chunks
+
+    def noted(*args):
+        placed = plain(*args)
+        sizes.append(placed.groupBy("_chunk").count())
+        return placed
+
+    monkeypatch.setattr(hot, "into_chunks", noted)
+    policy = HotPolicy(min_rows=0, chunks=16)
+    if ahead:
+        timeline.look_ahead(rows, EVENTS, policy=policy)
+    else:
+        timeline.look_back(rows, EVENTS, policy=policy)
+        timeline.events_in_last_months(rows, EVENTS, 12, policy=policy)
+    for size in sizes:
+        counts = [r["count"] for r in size.collect()]
+        assert len(counts) == 16 and max(counts) <= 2 * sum(counts) / len(counts)

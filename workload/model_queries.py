@@ -1,21 +1,27 @@
 """Feature matrix, alignment, splits, training, evaluation, flags, payloads and streams."""
 
-import tempfile
-
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
 from revisit.operators import align as aligning
+from revisit.operators import encode, flagging, history, split, timeline
 from revisit.operators import evaluate as quality
-from revisit.operators import flagging, split, timeline
 from revisit.operators.ranks import exact_quantile, order_statistic
 from revisit.plans import train as training
-from revisit.plans.durable import durable, shared_folder
-from revisit.plans.features import FeaturePipeline
+from revisit.plans.durable import durable, new_path
+from revisit.plans.features import FeaturePipeline, FeatureSettings
 from revisit.plans.score import score_json, support_flags
 from revisit.schema import CHILD_TABLES, MASTER, TABLE_SCHEMAS
-from revisit.sources.payloads import parse_payloads, payload_tables, read_payloads
-from revisit.streaming.scoring import stream_scores
+from revisit.sources.payloads import (
+    inferred_text_schema,
+    parse_payloads,
+    payload_tables,
+    read_payloads,
+)
+from revisit.sources.sinks import score_rows, write_features, write_scores
+from revisit.sources.tables import check_tables, children_of_events, parquet_tables
+from revisit.streaming.scoring import newest_scores, stream_scores
 from workload.domain import (
     AS_OF,
     CHILD_ITEMS,
@@ -340,8 +346,8 @@ def payload_rows(spark, folder):
     tables = domain_tables(spark, folder)
 
     def cells(name, rows):
-        fields = [f for f in TABLE_SCHEMAS[name] if f.name in rows.columns]
-        return F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        declared = {f.name: f.dataType for f in TABLE_SCHEMAS[name]}
+        return F.struct(*[F.col(c).cast(declared.get(c, rows.schema[c].dataType)).alias(c) for c in rows.columns])
 
     referral = tables["referral"]
     issue = F.struct("clientid", F.expr("issue").alias("clientissueid"))
@@ -390,10 +396,6 @@ def json_text_tables(spark, folder):
     )
 
 
-def _scratch(spark, name):
-    return tempfile.mkdtemp(prefix=name + "-", dir=shared_folder(spark))
-
-
 @query(
     "json_file_tables",
     """
@@ -402,7 +404,7 @@ def _scratch(spark, name):
 )
 def json_file_tables(spark, folder):
     """The same through files of JSON lines."""
-    path = _scratch(spark, "payloads") + "/lines"
+    path = new_path(spark, "payloads") + "/lines"
     _payload_lines(spark, folder).write.text(path)
     tables = payload_tables(read_payloads(spark, path))
     return tables["referralissue"].groupBy("referralinstanceid", "clientissueid").agg(
@@ -410,12 +412,13 @@ def json_file_tables(spark, folder):
     )
 
 
-@query("payload_feature_matrix", _feature_sql(()))
+@query("payload_feature_matrix", _feature_sql(("referral_householdsize",)))
 def payload_feature_matrix(spark, folder):
     """JSON text to tables to features, with feature state that went through storage."""
-    staged = durable(parse_payloads(_payload_lines(spark, folder), "body"), "payloads")
-    tables = payload_tables(staged)
-    path = _scratch(spark, "features")
+    lines = _payload_lines(spark, folder)
+    schema = inferred_text_schema(lines, "body")  # declared columns and what else the text holds
+    tables = payload_tables(durable(parse_payloads(lines, "body", schema), "payloads"))
+    path = new_path(spark, "features")
     FeaturePipeline.fit(tables, AS_OF).save(spark, path)
     features = FeaturePipeline.load(spark, path)
     return features.transform(tables).select(MASTER.event_id, *features.column_schema)
@@ -444,7 +447,7 @@ def ridge_scores(spark, folder):
 @query("retrain_report")
 def retrain_report(spark, folder):
     """Evaluate on the later quarter, fit on everything, save, report."""
-    path = _scratch(spark, "model") + "/v2"
+    path = new_path(spark, "model") + "/v2"
     tables = domain_tables(spark, folder)
     return training.retrain(tables, AS_OF, path, "2", _small_forest())
 
@@ -452,7 +455,7 @@ def retrain_report(spark, folder):
 @query("saved_model_scores")
 def saved_model_scores(spark, folder):
     """Scores of a model after a round trip through storage."""
-    path = _scratch(spark, "model") + "/v1"
+    path = new_path(spark, "model") + "/v1"
     tables = domain_tables(spark, folder)
     training.train(tables, AS_OF, training.ridge(0.1)).model.save(spark, path)
     return training.ScoringModel.load(spark, path).predict(tables)
@@ -465,11 +468,181 @@ def payload_scores(spark, folder):
     return score_json(model, _payload_lines(spark, folder), "body")
 
 
+def _different(a, b):
+    """One row: events of ``a`` or ``b``, and how many of them have other scores in the two."""
+    a = a.select("referralinstanceid", F.col("score").alias("a"))
+    b = b.select("referralinstanceid", F.col("score").alias("b"))
+    near = F.coalesce(F.abs(F.col("a") - F.col("b")) <= 1e-9, F.lit(False))
+    both = a.join(b, "referralinstanceid", "full")
+    return both.agg(F.count("*").alias("events"), F.count_if(~near).alias("different"))
+
+
+@query("payload_equivalence", "SELECT count(*) AS events, 0::BIGINT AS different FROM orders")
+def payload_equivalence(spark, folder):
+    """Scores from tables against scores of the same rows as JSON text."""
+    tables = domain_tables(spark, folder)
+    model = training.train(tables, AS_OF, training.ridge(0.1)).model
+    return _different(model.predict(tables), score_json(model, _payload_lines(spark, folder), "body"))
+
+
 @query("stream_scores")
 def scores_of_stream(spark, folder):
     """Payload files scored by a stream that runs until all files are done."""
     model = training.train(domain_tables(spark, folder), AS_OF, training.ridge(0.1)).model
-    base = _scratch(spark, "stream")
-    _payload_lines(spark, folder).write.text(f"{base}/in")
-    stream_scores(spark, model, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    return _streamed(spark, model, _payload_lines(spark, folder), None)
+
+
+def _streamed(spark, model, lines, max_files):
+    base = new_path(spark, "stream")
+    lines.write.text(f"{base}/in")
+    stream = stream_scores(spark, model, f"{base}/in", f"{base}/out", f"{base}/state", max_files)
+    stream.awaitTermination()
+    return newest_scores(spark, f"{base}/out")
+
+
+@query(
+    "stream_equivalence",
+    """
+    SELECT layout, count(*) AS events, 0::BIGINT AS different
+    FROM orders, (VALUES ('1 file'), ('9 files'), ('9 files in 2 batches')) x(layout) GROUP BY 1""",
+)
+def stream_equivalence(spark, folder):
+    """Streamed scores against batch scores, however objects lie in files and batches."""
+    tables = domain_tables(spark, folder)
+    model = training.train(tables, AS_OF, training.ridge(0.1)).model
+    batch = durable(model.predict(tables), "scores")
+    lines = durable(_payload_lines(spark, folder), "lines")
+    made = None
+    for layout, files, most in (("1 file", 1, None), ("9 files", 9, None), ("9 files in 2 batches", 9, 5)):
+        streamed = _streamed(spark, model, lines.repartition(files), most)
+        row = _different(batch, streamed).select(F.lit(layout).alias("layout"), "*")
+        made = row if made is None else made.union(row)
+    return made
+
+
+@query(
+    "saved_model_equivalence",
+    "SELECT count(*) AS events, 0::BIGINT AS different FROM orders",
+)
+def saved_model_equivalence(spark, folder):
+    """A saved and loaded model against itself."""
+    path = new_path(spark, "model")
+    tables = domain_tables(spark, folder)
+    model = training.train(tables, AS_OF, training.ridge(0.1)).model
+    model.save(spark, path)
+    return _different(model.predict(tables), training.ScoringModel.load(spark, path).predict(tables))
+
+
+# ---------------------------------------------------------------------- sinks, limits, own stages
+
+
+@query(
+    "feature_table_by_month",
+    """
+    SELECT o_orderkey AS referral_referralinstanceid, strftime(o_orderdate, '%Y-%m') AS month,
+           CAST(o_totalprice AS DOUBLE) AS price FROM orders""",
+)
+def feature_table_by_month(spark, folder):
+    """Feature rows written by month and read back."""
+    path = new_path(spark, "feature-table")
+    rows = orders(spark, folder).select(
+        F.col("o_orderkey").alias(MASTER.event_id), F.col("o_orderdate").alias(MASTER.ts),
+    )
+    price = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(MASTER.event_id), F.col("o_totalprice").cast("double").alias("price")
+    )
+    write_features(rows.join(price, MASTER.event_id), path)
+    back = spark.read.parquet(path)
+    return back.select(MASTER.event_id, F.date_format("month", "yyyy-MM").alias("month"), "price")
+
+
+@query(
+    "score_files",
+    "SELECT o_orderkey AS referralinstanceid, CAST(o_totalprice AS DOUBLE) AS score, '7' AS model_version FROM orders",
+)
+def score_files(spark, folder):
+    """Scores written as JSON lines and read back."""
+    path = new_path(spark, "score-files")
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(MASTER.event_id), F.col("o_totalprice").cast("double").alias("prediction")
+    )
+    write_scores(score_rows(rows, "7"), path, "json")
+    return spark.read.schema("referralinstanceid BIGINT, score DOUBLE, model_version STRING").json(path)
+
+
+@query(
+    "tables_below_id",
+    """
+    SELECT o_orderkey AS referralinstanceid, count(l_orderkey) AS items
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 700 GROUP BY 1""",
+)
+def tables_below_id(spark, folder):
+    """Tables stored as files, read with an id limit, with only the child rows of what is left."""
+    path = new_path(spark, "tables")
+    for name, df in domain_tables(spark, folder).items():
+        df.write.parquet(f"{path}/{name}")
+    kept = children_of_events(parquet_tables(spark, path, id_below=700))
+    check_tables(kept, need_rows=True)
+    counts = kept["referralissue"].groupBy("referralinstanceid").agg(F.count("*").alias("items"))
+    joined = kept["referral"].join(counts, "referralinstanceid", "left")
+    return joined.select("referralinstanceid", F.coalesce("items", F.lit(0)).alias("items"))
+
+
+@query(
+    "first_payloads",
+    """
+    SELECT o_custkey AS clientid, count(*) AS events FROM orders
+    WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 10) GROUP BY 1""",
+)
+def first_payloads(spark, folder):
+    """The payloads of the ten smallest client ids, one payload per client."""
+    referral = domain_tables(spark, folder)["referral"]
+    rows = F.struct("referralinstanceid", "clientid")
+    payloads = referral.groupBy("clientid").agg(F.collect_list(rows).alias("referral"))
+    client = F.array().cast("array<struct<clientid: bigint>>")
+    payloads = payloads.select("referral", client.alias("client"))
+    return payload_tables(payloads, limit=10)["referral"].groupBy("clientid").agg(F.count("*").alias("events"))
+
+
+@query(
+    "own_stage",
+    """
+    WITH doubled AS (SELECT o_orderkey, 2 * CAST(floor(o_totalprice / 50000) AS BIGINT) AS d FROM orders)
+    SELECT o_orderkey AS referral_referralinstanceid, CAST(d AS DOUBLE) AS own_doubled FROM doubled""",
+)
+def own_stage(spark, folder):
+    """A stage of the user's own inside the feature pipeline."""
+    doubled = SQLTransformer(statement="SELECT *, referral_householdsize * 2 AS own_doubled FROM __THIS__")
+    settings = FeatureSettings(extra_stages=[doubled])
+    features, rows = FeaturePipeline.fit_transform(domain_tables(spark, folder), AS_OF, settings)
+    own = [c for c in features.column_schema if c.startswith("own_")]
+    return rows.select(MASTER.event_id, *[F.col(c).cast("double").alias(c) for c in own])
+
+
+@query(
+    "items_seen",
+    """
+    WITH firsts AS (
+      SELECT o_custkey, min((o_orderdate, o_orderkey)) AS m, l_suppkey
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey)
+    SELECT o_orderkey, o_custkey, o_orderdate,
+           (SELECT count(*) FROM firsts f
+            WHERE f.o_custkey = o.o_custkey AND f.m <= (o.o_orderdate, o.o_orderkey)) AS suppliers
+    FROM orders o""",
+)
+def items_seen(spark, folder):
+    """Distinct suppliers a customer has had so far, without a column per supplier."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    return history.distinct_items_seen(orders(spark, folder), ORDERS, lines, "l_orderkey", "l_suppkey", "suppliers")
+
+
+@query(
+    "count_encode_join",
+    """
+    SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey) AS l_suppkey FROM lineitem""",
+)
+def count_encode_join(spark, folder):
+    """Frequencies kept as a table, for vocabularies of any size."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    fitted = durable(encode.frequencies(lines, "l_suppkey"), "frequencies")
+    return encode.count_encode(lines, "l_suppkey", fitted)

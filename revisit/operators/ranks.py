@@ -27,9 +27,19 @@ def average_rank(
     """Add the rank of ``value`` in its group; equal values share the mean of their places.
 
     With ``ties`` "first" they share the first of them. Null values have a null rank and take no
-    place. ``size`` names a column for the number of rows of the group.
+    place. ``size`` names a column for the number of rows of the group. A null group is a group
+    like any other, also where it is hot.
     """
     group = list(group)
+    if group and not policy.decided:
+        # As one struct, a null key compares equal to itself and can be found, joined and split.
+        keyed = rows.withColumn("_group", F.struct(*[ref(g) for g in group]))
+        made = _ranked(keyed, ["_group"], value, name, descending, policy, size, ties)
+        return made.select(*quoted_all(rows.columns), ref(name), *([ref(size)] if size else []))
+    return _ranked(rows, group, value, name, descending, policy, size, ties)
+
+
+def _ranked(rows, group, value, name, descending, policy, size, ties) -> DataFrame:
     mean = {"mean": 1, "first": 0}[ties]
 
     def ordinary(part: DataFrame) -> DataFrame:

@@ -172,3 +172,15 @@ def test_chunks_are_even_when_probes_lie_a_window_away(spark, monkeypatch, ahead
     for size in sizes:
         counts = [r["count"] for r in size.collect()]
         assert len(counts) == 16 and max(counts) <= 2 * sum(counts) / len(counts)
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_a_null_group_is_split_like_others(spark, down):
+    rows = spark.sql("SELECT IF(id % 4 = 0, id % 3, NULL) AS g, IF(id % 11 = 0, NULL, id % 37) AS v, id FROM range(400)")
+    heavy = HotPolicy(min_rows=50, chunks=4)
+    key = rows.select(F.struct("g").alias("_group"))
+    assert [r._group.g for r in hot.find_hot(key, ["_group"], heavy).collect()] == [None]
+    same(
+        average_rank(rows, ["g"], "v", "r", down, NONE_HOT, "n"),
+        average_rank(rows, ["g"], "v", "r", down, heavy, "n"),
+    )

@@ -39,6 +39,11 @@ def forest(hyperparams: Mapping | None = None, trees: int = DEFAULT_TREES) -> Es
     return RandomForestRegressor(featuresCol="features", labelCol="label", **settings)
 
 
+def alternative_forest(hyperparams: Mapping | None = None) -> Estimator:
+    """The larger forest."""
+    return forest(hyperparams, ALTERNATIVE_TREES)
+
+
 def ridge(strength: float = 1.0) -> Estimator:
     """Linear regression with an L2 penalty."""
     return LinearRegression(

@@ -15,6 +15,7 @@ from revisit.plans.score import score_json, support_flags
 from revisit.plans.train import ScoringModel, forest, report, retrain, ridge, train
 from revisit.schema import CHILD_TABLES, MASTER, REQUIRED_TABLES, EventColumns
 from revisit.sources.payloads import (
+    inferred_text_schema,
     parse_payloads,
     payload_tables,
     read_payloads,
@@ -27,7 +28,12 @@ from revisit.sources.tables import (
     empty_table,
     parquet_tables,
 )
-from revisit.streaming.scoring import latest_tables, stream_scores, with_arrival
+from revisit.streaming.scoring import (
+    latest_tables,
+    newest_scores,
+    stream_scores,
+    with_arrival,
+)
 
 AS_OF = "2018-08-19 14:09:15"
 
@@ -312,3 +318,41 @@ def test_support_flags(spark, trained, tables):
     assert abs(made.where("flagged").count() / n - 0.1) < 0.05
     fixed = support_flags(trained.model.predict(tables), events, cols, threshold=1e9)
     assert fixed.where("flagged").count() == 0
+
+
+def test_undeclared_columns_reach_json_scores(spark, tables, payloads):
+    """A numeric column that no schema declares is a feature, from tables and from JSON alike."""
+    more = json.loads(json.dumps(payloads))
+    for p in more:
+        for r in p["referral"]:
+            r["householdsize"] = r["referralinstanceid"] % 7
+    rows = spark.createDataFrame([(json.dumps(p),) for p in more], "b string")
+    schema = inferred_text_schema(rows, "b")
+    assert "householdsize" in schema["referral"].dataType.elementType.names
+    wide = payload_tables(durable_module.durable(parse_payloads(rows, "b", schema), "wide"))
+    model = train(wide, AS_OF, ridge(0.01)).model
+    assert "referral_householdsize" in model.features.column_schema
+    batch = {r.referralinstanceid: r.score for r in model.predict(wide).collect()}
+    found = {r.referralinstanceid: r.score for r in score_json(model, rows, "b").collect()}
+    assert found.keys() == batch.keys()
+    assert all(abs(found[k] - batch[k]) < 1e-9 for k in found)
+
+
+def test_last_scores_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, "1", 0), (2, 0.1, "1", 0), (1, 0.7, "1", 3)],
+                                 "referralinstanceid bigint, score double, model_version string, batch_id int")
+    rows.write.partitionBy("batch_id").parquet(str(tmp_path / "out"))
+    made = {r.referralinstanceid: r.score for r in newest_scores(spark, str(tmp_path / "out")).collect()}
+    assert made == {1: 0.7, 2: 0.1}
+
+
+def test_shared_folder_on_any_file_system(spark, tmp_path, monkeypatch):
+    from revisit.plans.durable import durable_at, forget, scratch
+
+    monkeypatch.setattr(durable_module, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    copy, path = durable_at(spark.range(5), "numbers")
+    assert copy.count() == 5 and list((tmp_path / "shared").iterdir())
+    forget(spark, path)
+    with scratch(spark, "more") as place:
+        spark.range(2).write.parquet(place)
+    assert not list((tmp_path / "shared").iterdir())

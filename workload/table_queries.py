@@ -12,7 +12,6 @@ from revisit.schema import CHILD_TABLES
 from revisit.sources.tables import children_of_events, conform, read_tables
 from workload.domain import (
     AS_OF,
-    CHILD_ITEMS,
     CLIENT_ISSUES,
     DOMAIN_SQL,
     child_counts_sql,
@@ -212,7 +211,7 @@ def count_encoded_clients(spark, folder):
 def _flag_rows(spark, folder):
     """Orders with the flag and status counts of their lines."""
     lines = table(spark, folder, "lineitem")
-    items = {"flag": ["A", "N", "R"], "status": ["F", "O"]}
+    items = pivot.vocabulary({"flag": (lines, "l_returnflag"), "status": (lines, "l_linestatus")})
     counts = pivot.counted_items(
         {"flag": (lines, "l_orderkey", "l_returnflag"), "status": (lines, "l_orderkey", "l_linestatus")},
         items,
@@ -333,7 +332,8 @@ def child_count_columns(spark, folder):
     """All six child tables counted together."""
     tables = conform(domain_tables(spark, folder))
     counts = pivot.item_counts({n: (tables[n], k, i) for n, (k, i) in CHILD_TABLES.items()})
-    return pivot.spread(counts, CHILD_ITEMS).withColumnRenamed("key", "id")
+    items = pivot.vocabulary({n: (tables[n], i) for n, (_, i) in CHILD_TABLES.items()})
+    return pivot.spread(counts, items).withColumnRenamed("key", "id")
 
 
 @query(

@@ -23,11 +23,31 @@ from revisit.plans.durable import new_path
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
 
-@query("op1_substring_dedup")
+# Windows compared as strings, in place of hashes.
+_REPEATS = """
+    WITH doc AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    win AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+    again AS (
+      SELECT doc_id, i FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)),
+    gone AS (SELECT DISTINCT doc_id, i + k AS place FROM again, range(35) t(k)),
+    word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM doc),
+    kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS said
+      FROM word ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(coalesce(said, '')) AS kept_sha256
+    FROM doc LEFT JOIN kept USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("op1_substring_dedup", _REPEATS)
 def op1_substring_dedup(spark, folder):
     made = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     digest = F.sha2(F.col("kept").cast("binary"), 256)
-    return made.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"), "spans")
+    return made.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
 @query("op2_fertility")

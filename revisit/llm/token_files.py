@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from revisit.llm.word_cache import WordCache
 from revisit.llm.words import text_slices, words_of
@@ -27,6 +27,12 @@ class _WordEncoder:
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
+        # For words of lower-case ASCII letters: nothing to normalise, nothing to split.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)]
+        )
         vocab = self.model.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
@@ -35,10 +41,11 @@ class _WordEncoder:
         made: list[list[int]] = [[]] * len(texts)
         plain, other, special = [], [], []
         for i, t in enumerate(texts):
-            (special if "<|" in t else plain if t.isascii() and t.isalpha() else other).append(i)
-        # A word of ASCII letters is one run of pieces that ends with an end-of-word piece.
+            simple = t.isascii() and t.isalpha() and t.islower()
+            (special if "<|" in t else plain if simple else other).append(i)
+        # Such a word is one run of pieces that ends with an end-of-word piece.
         for part in _parts(plain):
-            (one,) = self.model.encode_batch_fast(
+            (one,) = self.bare.encode_batch_fast(
                 [" ".join(texts[i] for i in part)], add_special_tokens=False
             )
             ids = one.ids
@@ -71,7 +78,10 @@ def _word_cache(path: str) -> WordCache:
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each followed by ``end_id``; and where each ends."""
-    words = words_of(texts)
+    # The tokenizer lower-cases; doing so first makes fewer distinct words. It must not make the
+    # spelling of a special token, so texts with one stay as they are.
+    special = pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py()
+    words = words_of(texts, lower=not special)
     store = _word_cache(path)
     place = store.places(words)
     size = np.concatenate([[0], np.cumsum(store.size[place])])

@@ -15,31 +15,31 @@ def line_words(line: str) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(doc, pos, words) of all lines with enough words."""
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.select("doc", "pos", line_words("line").alias("words")).where(F.size("words") >= min_words)
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
 def _identity() -> list[Column]:
     return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
 
 
-def _anchors() -> Column:
-    """Hashes of which lines within one word of each other share at least one.
+def _half(n: Column, less: int) -> Column:
+    return F.floor((n - less) / 2).cast("int")
+
+
+def _halves(side: str) -> Column:
+    """Hashes of which lines within one word of each other share one, of one side or the other.
 
     One word is changed, left out or put in: either the words before or those after it are a half
     of the line. Lengths may differ by one, so halves of two lengths are taken.
     """
     n = F.size("words")
-    halves = []
+    found = []
     for less in (1, 2):
-        a = F.floor((n - less) / 2).cast("int")
-        halves += [
-            F.xxhash64(F.lit("first"), a, F.slice("words", F.lit(1), a)),
-            F.xxhash64(F.lit("last"), a, F.slice("words", n - a + 1, a)),
-        ]
-    return F.array_distinct(F.array(*halves))
+        a = _half(n, less)
+        begin = F.lit(1) if side == "first" else n - a + 1
+        found.append(F.xxhash64(F.lit(side), a, F.slice("words", begin, a)))
+    return F.array_distinct(F.array(*found)).alias(side)
 
 
 def repeated_lines(
@@ -62,46 +62,46 @@ def repeated_lines(
     keys are one place: equal lines with equal keys and numbers do not remove each other. Other
     columns are not read.
     """
-    lines = _lines(docs, key, text, min_words)
-    distinct = (
-        lines.select(*_identity(), "doc", "pos", F.size("words").alias("n"), _anchors().alias("anchors"))
-        .groupBy("h1", "h2")
-        .agg(
-            F.min(F.struct("doc", "pos")).alias("first"),
-            F.count("*").alias("times"),
-            F.first("anchors").alias("anchors"),
-        )
+    split = _lines(docs, key, text)
+    lines = split.select("doc", "pos", line_words("line").alias("words")).where(F.size("words") >= min_words)
+    lines = durable(lines.select("doc", "pos", *_identity(), _halves("first"), _halves("last")), "lines")
+    distinct = lines.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc", "pos")).alias("place"),
+        F.count("*").alias("times"),
+        F.first("first").alias("first"),
+        F.first("last").alias("last"),
     )
-    distinct = durable(distinct, "lines")
-
-    # Lines that share a half with another line.
-    halves = distinct.select("h1", "h2", F.explode("anchors").alias("anchor"))
-    shared = halves.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = durable(shared, "anchors")
-    near = halves.join(shared, "anchor").select("h1", "h2").distinct()
-    near = durable(distinct.select("h1", "h2", "first").join(near, ["h1", "h2"]), "near-lines")
-    wanted = near.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    wanted = small(wanted)
-    at_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
-    texts = lines.join(wanted, at_first).select("first", "g1", "g2", "words", *_identity())
-    texts = durable(
-        texts.where("h1 = g1 AND h2 = g2").select("h1", "h2", "first", "words").dropDuplicates(["h1", "h2"]),
-        "near-line-words",
+    distinct = durable(distinct, "distinct-lines")
+
+    # Lines that share a half with another line, and on which side.
+    sides = [
+        distinct.select("h1", "h2", F.lit(side).alias("side"), F.explode(side).alias("half"))
+        for side in ("first", "last")
+    ]
+    halves = sides[0].union(sides[1])
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    near = halves.join(durable(shared, "halves"), "half").groupBy("h1", "h2").agg(
+        F.bool_or(F.col("side") == "first").alias("by_first"), F.bool_or(F.col("side") == "last").alias("by_last")
     )
+    near = distinct.select("h1", "h2", "place").join(near, ["h1", "h2"])
+    near = durable(near.withColumnsRenamed({"h1": "g1", "h2": "g2"}), "near-lines")
+    texts = split.join(small(near), _at("doc", "pos", "place")).withColumn("words", line_words("line"))
+    texts = texts.select(*_identity(), "g1", "g2", "place", "by_first", "by_last", "words")
+    texts = texts.where("h1 = g1 AND h2 = g2").drop("g1", "g2").dropDuplicates(["h1", "h2"])
+    texts = durable(texts, "near-line-words")
 
     found = _partners(texts).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    decided = distinct.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    decided = distinct.select("h1", "h2", "place", "times").join(found, same, "left")
     decided = decided.where("times > 1 OR partner IS NOT NULL").select(
-        F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "partner"
+        F.col("h1").alias("g1"), F.col("h2").alias("g2"), "place", "partner"
     )
     decided = small(durable(decided, "line-decisions"))
-    occurrences = lines.select("doc", "pos", *_identity())
-    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
-    kept = F.coalesce("partner", "first")
-    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
+    kept = F.coalesce("partner", "place")
     return (
-        occurrences.join(decided, same)
-        .where(F.col("partner").isNotNull() | ~is_first)
+        lines.select("doc", "pos", "h1", "h2")
+        .join(decided, same)
+        .where(F.col("partner").isNotNull() | ~_at("doc", "pos", "place"))
         .select(
             F.col("doc").alias(key),
             F.col("pos").alias("line"),
@@ -112,70 +112,80 @@ def repeated_lines(
     )
 
 
-def _partners(texts: DataFrame) -> DataFrame:
-    """(h1, h2, partner): the earliest line within one edit of each line, where it is earlier."""
-    word = texts.select("h1", "h2", "first", F.posexplode("words").alias("i", "word"))
-
-    def hashed(place: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(salt), place, "word") for salt in (3, 5)]
-
-    # A line's hash is the exclusive or over words of a hash of place and word. Without word p, the
-    # words before it keep their places and those behind it move up by one.
-    stays, moves = hashed(F.col("i")), hashed(F.col("i") - 1)
-    of_line = Window.partitionBy("h1", "h2").orderBy("i")
-    before = of_line.rowsBetween(Window.unboundedPreceding, -1)
-    after = of_line.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("h1", "h2")
-    hashes = word.select(
-        "h1", "h2", "first", "i",
-        *[c.alias(f"s{k}") for k, c in enumerate(stays)], *[c.alias(f"m{k}") for k, c in enumerate(moves)],
-    )
-    left_out = hashes.select(
-        "h1", "h2", "first", F.col("i").alias("p"),
-        *[
-            F.coalesce(F.bit_xor(f"s{k}").over(before), F.lit(0))
-            .bitwiseXOR(F.bit_xor(f"m{k}").over(whole))
-            .bitwiseXOR(F.bit_xor(f"m{k}").over(after))
-            .alias(f"v{k}")
-            for k in (0, 1)
-        ],
+def _at(doc: str, pos: str, place: str) -> Column:
+    return F.col(doc).eqNullSafe(F.col(f"{place}.doc")) & (F.col(pos) == F.col(f"{place}.pos"))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """(v0, v1, p, doc, pos): hashes of each line without word p, and of the line itself as p = -1.
+
+    A line's hash is the exclusive or over words of a hash of place and word. Without word p, the
+    words before it keep their places and those behind it move up by one. A line that shares halves
+    of one side only differs from its partners in the other half.
+    """
+    word = texts.select(
+        "place.doc", "place.pos", F.size("words").alias("n"), "by_first", "by_last",
+        F.posexplode("words").alias("i", "word"),
     )
-    itself = hashes.groupBy("h1", "h2", "first").agg(
-        F.lit(-1).alias("p"), F.bit_xor("s0").alias("v0"), F.bit_xor("s1").alias("v1")
+    names = ["doc", "pos", "n", "by_first", "by_last", "i"]
+    hashes = word.select(
+        *names,
+        *[F.xxhash64(F.lit(salt), "i", "word").alias(f"s{k}") for k, salt in enumerate((3, 5))],
+        *[F.xxhash64(F.lit(salt), F.col("i") - 1, "word").alias(f"m{k}") for k, salt in enumerate((3, 5))],
     )
-    variants = durable(left_out.union(itself), "line-variants")
+    whole = Window.partitionBy("doc", "pos")
+    before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    upto = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+
+    def key(column: Column, k: int) -> Column:
+        return (column if k == 0 else column.bitwiseAND(0x7FFFFFFF).cast("int")).alias(f"v{k}")
+
+    def rest(k: int) -> Column:
+        moved = F.bit_xor(f"m{k}").over(whole).bitwiseXOR(F.bit_xor(f"m{k}").over(upto))
+        return F.coalesce(F.bit_xor(f"s{k}").over(before), F.lit(0)).bitwiseXOR(moved)
+
+    left_out = hashes.select(*names, key(rest(0), 0), key(rest(1), 1))
+    a = _half(F.col("n"), 2)
+    in_first, in_last = F.col("i") < F.col("n") - a, F.col("i") >= a
+    wanted = (F.col("by_last") & in_first) | (F.col("by_first") & in_last)
+    left_out = left_out.where(wanted).select("v0", "v1", F.col("i").alias("p"), "doc", "pos")
+    itself = hashes.groupBy("doc", "pos").agg(key(F.bit_xor("s0"), 0), key(F.bit_xor("s1"), 1))
+    return left_out.union(itself.select("v0", "v1", F.lit(-1).alias("p"), "doc", "pos"))
+
+
+def _partners(texts: DataFrame) -> DataFrame:
+    """(h1, h2, partner): the earliest line within one edit of each line, where it is earlier."""
+    variants = durable(_variants(texts), "line-variants")
+    met = variants.groupBy("v0", "v1").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    variants = durable(variants.join(durable(met, "equal-variants"), ["v0", "v1"]), "met-variants")
 
     # The earliest line of a variant: with the same word left out, or one word shorter or longer.
-    own = F.struct("first.doc", "first.pos", "p")
+    own = F.struct("doc", "pos", "p")
     changed = variants.where("p >= 0").groupBy("v0", "v1", "p").agg(F.min(own).alias("other"), F.count("*").alias("n"))
     changed = durable(changed.where("n > 1").drop("n"), "changed-words")
     lengths = variants.groupBy("v0", "v1").agg(
         F.min(F.when(F.col("p") < 0, own)).alias("shorter"), F.min(F.when(F.col("p") >= 0, own)).alias("longer")
     )
     lengths = durable(lengths.where("shorter IS NOT NULL AND longer IS NOT NULL"), "left-out-words")
-    pick = F.struct(
-        F.col("other.doc").alias("doc"), F.col("other.pos").alias("pos"), F.col("p"), F.col("other.p").alias("q")
-    ).alias("near")
-    met = variants.join(changed, ["v0", "v1", "p"]).select("h1", "h2", "first", pick)
-    by_length = variants.join(lengths, ["v0", "v1"]).withColumn(
-        "other", F.when(F.col("p") < 0, F.col("longer")).otherwise(F.col("shorter"))
+    other = F.when(F.col("p") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("other")
+    pairs = variants.join(changed, ["v0", "v1", "p"]).select("doc", "pos", "p", "other").union(
+        variants.join(lengths, ["v0", "v1"]).select("doc", "pos", "p", other)
     )
-    met = met.union(by_length.select("h1", "h2", "first", pick))
-    place = F.struct("near.doc", "near.pos")
-    earliest = met.where(place < F.struct("first.doc", "first.pos")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    near = F.struct("other.doc", "other.pos", "p", F.col("other.p").alias("q"))
+    earlier = pairs.where(F.struct("other.doc", "other.pos") < F.struct("doc", "pos"))
+    earliest = earlier.groupBy("doc", "pos").agg(F.min(near).alias("near"))
 
     # Both lines' words, without the words left out, must be the same.
-    mine = texts.select("h1", "h2", "words").join(earliest, ["h1", "h2"])
-    theirs = texts.select(F.col("first").alias("at"), F.col("words").alias("other_words"))
-    there = F.col("at.doc").eqNullSafe(F.col("near.doc")) & (F.col("at.pos") == F.col("near.pos"))
+    mine = texts.select("h1", "h2", "place", "words").join(earliest, _at("doc", "pos", "place"))
+    theirs = texts.select(F.col("place").alias("there"), F.col("words").alias("other_words"))
 
     def without(words: str, p: Column) -> Column:
         cut = F.concat(F.slice(words, F.lit(1), F.greatest(p, F.lit(0))), F.slice(words, p + 2, F.size(words)))
         return F.when(p < 0, F.col(words)).otherwise(cut)
 
     equal = without("words", F.col("near.p")) == without("other_words", F.col("near.q"))
-    return mine.join(theirs, there).where(equal).select(
-        "h1", "h2", F.struct(F.col("near.doc").alias("doc"), F.col("near.pos").alias("pos")).alias("partner")
+    return mine.join(theirs, _at("near.doc", "near.pos", "there")).where(equal).select(
+        "h1", "h2", F.struct("near.doc", "near.pos").alias("partner")
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from math import exp, log
+from math import log
 
 import numpy as np
 import public_tokenizers
@@ -15,41 +15,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from revisit.llm.words import BYTE_BASES, mix, rolling, text_slices
+from revisit.llm.words import BYTE_BASES, mix, powers, rolling, text_slices
 
 SPACE = "▁"  # how pieces spell a space
-MOST_CACHED_ARCS = 3_000_000
+_DECODED = 1 << 20  # about so many ids are decoded at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """A piece vocabulary: pieces with weights, byte tokens, and the bytes that each id stands for.
+    """A piece vocabulary as tables of bytes: surfaces of ids, and a hashed trie of all surfaces.
 
     The public vocabulary ranks its pieces instead of giving probabilities, so a piece's weight is
-    Zipf's law of its rank: -log(rank + 3). Pieces without a rank (runs of spaces) get the least.
+    Zipf's law of its rank: -log(rank + 3). Byte tokens and pieces without a rank (runs of spaces)
+    get the least.
     """
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.weight: dict[str, tuple[int, float]] = {}
-        self.byte_id = [0] * 256
-        self.surface: list[bytes] = [b""] * size
-        self.starts: set[str] = set()
+        self.byte_id = np.zeros(256, np.int32)
+        self.weight = np.full(size, -log(size + 3.0))
+        surface = [b""] * size
+        known: dict[bytes, int] = {}  # every beginning of a piece; its id, or -1
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:-1], 16)
-                self.byte_id[value], self.surface[i] = i, bytes([value])
+                self.byte_id[value], surface[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                rank = min(-model.get_score(i), size)
-                text = piece.replace(SPACE, " ")
-                self.weight[text] = i, -log(rank + 3.0)
-                self.surface[i] = text.encode()
-                self.starts.update(text[:n] for n in range(1, len(text) + 1))
-        sizes = np.fromiter(map(len, self.surface), np.int64, size)
-        self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        self.bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+                self.weight[i] = -log(min(-model.get_score(i), size) + 3.0)
+                surface[i] = piece.replace(SPACE, " ").encode()
+                for n in range(1, len(surface[i])):
+                    known.setdefault(surface[i][:n], -1)
+                known[surface[i]] = i
+        self.ends = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
+        self.bytes = np.frombuffer(b"".join(surface), np.uint8)
+        self.longest = max(map(len, known))
+        parts = list(known)
+        lengths = np.array([len(p) for p in parts])
+        ends = np.cumsum(lengths)
+        hashes = _Hashes(np.frombuffer(b"".join(parts), np.uint8))
+        first, second = (hashes.of(k, ends - lengths, ends) for k in (0, 1))
+        order = np.argsort(first)
+        self.first, self.second = first[order], second[order]
+        self.id = np.array([known[p] for p in parts], np.int32)[order]
+
+
+class _Hashes:
+    """Two rolling hashes of any stretch of some bytes."""
+
+    def __init__(self, data: np.ndarray):
+        values = data.astype(np.uint64) + np.uint64(1)
+        self.parts = []
+        for base in BYTE_BASES:
+            up, down = powers(base, len(data) + 1)
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(values * up[: len(data)], out=prefix[1:])
+            self.parts.append((prefix, down))
+
+    def of(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        prefix, down = self.parts[which]
+        return mix((prefix[end] - prefix[begin]) * down[begin])
 
 
 @cache
@@ -58,96 +84,90 @@ def _pieces(path: str) -> Pieces:
 
 
 class Lattices:
-    """Lattices of text units, forward-filtered once per distinct unit.
+    """Lattices of text units, forward-filtered side by side.
 
-    A node is a place in a unit, its arcs are the pieces that end there with the probability that a
-    sampled segmentation reaching the node came that way. Bytes of a character without a piece are
-    a chain of nodes with one arc each.
+    A node is a place between two bytes of a unit. Its arcs are the pieces that end there, each with
+    the probability that a sampled segmentation reaching the node came that way. A character
+    without a piece of its own is spelled in byte tokens, over nodes inside of it.
     """
 
-    def __init__(self, pieces: Pieces, power: float):
-        self.pieces, self.power = pieces, power
-        self._clear()
-
-    def _clear(self) -> None:
-        self.last: dict[int, int] = {}  # unit hash -> its last node
-        self.upto = np.zeros(0)  # node + cumulated probability, by arc
-        self.came = np.zeros(0, np.int64)  # the node an arc comes from
-        self.token = np.zeros(0, np.int32)
-        self.first: list[int] = []  # nodes without an arc
-        self.nodes = 0
-
-    def last_nodes(self, hashes: np.ndarray, spell: Callable[[int], bytes]) -> np.ndarray:
-        """The last node of every unit; ``spell(i)`` is the text of unit i."""
-        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.upto) > MOST_CACHED_ARCS:
-            self._clear()
-        upto: list[float] = []
-        came: list[int] = []
-        token: list[int] = []
+    def __init__(self, pieces: Pieces, power: float, data: np.ndarray, size: np.ndarray):
+        """``data``: the bytes of all units one after the other; ``size``: how many of each."""
+        ends = np.cumsum(size)
+        unit = np.repeat(np.arange(len(size)), size)
+        begin, end, token = self._arcs(pieces, data, unit, ends)
+        # Nodes: one more than bytes in each unit.
+        self.first = ends - size + np.arange(len(size))
+        self.last = self.first + size
+        came, went = begin + unit[begin], end + unit[begin]
+        order = np.argsort(went, kind="stable")
+        came, went, token = came[order], went[order], token[order]
+        weight = power * pieces.weight[token]
+        group = np.flatnonzero(np.concatenate([[True], went[1:] != went[:-1]])) if len(went) else went
+        # Forward filtering: all nodes with the same distance from the start of their unit at once.
+        node = went[group]
+        count = np.diff(np.append(group, len(went)))
+        away = node - np.repeat(self.first, size + 1)[node]
+        total = np.zeros(len(data) + len(size))
+        share = np.zeros(len(went))
+        by_distance = np.argsort(away, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(away[by_distance]) > 0, [True]])) if len(away) else []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            now = by_distance[a:b]
+            n = count[now]
+            at = np.cumsum(n) - n
+            arcs = np.repeat(group[now] - at, n) + np.arange(int(n.sum()))
+            score = total[came[arcs]] + weight[arcs]
+            top = np.maximum.reduceat(score, at)
+            part = np.exp(score - np.repeat(top, n))
+            whole = np.add.reduceat(part, at)
+            total[node[now]] = top + np.log(whole)
+            share[arcs] = part / np.repeat(whole, n)
+        run = np.cumsum(share)
+        before = np.repeat((run - share)[group], count) if len(group) else run
+        self.upto = went + np.minimum(run - before, 1.0)
+        self.upto[np.append(group[1:], len(went))[: len(group)] - 1] = node + 1.0
+        self.came, self.token = came, token
+        self.has_arc = np.zeros(len(total), bool)
+        self.has_arc[node] = True
+
+    @staticmethod
+    def _arcs(pieces: Pieces, data, unit, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, id) of all pieces in the units, and of the bytes of characters without one."""
+        hashes = _Hashes(data)
+        lead = (data & 0xC0) != 0x80
+        lead[np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])]] = True
+        start = np.flatnonzero(lead)
+        width = np.diff(np.append(start, len(data)))
+        room = ends[unit[start]] - start
+        spelled = np.zeros(len(start), bool)
         found = []
-        for h, i in zip(distinct.tolist(), index.tolist()):
-            node = self.last.get(h)
-            if node is None:
-                unit = spell(i).decode("utf-8", "surrogateescape")
-                node = self.last[h] = self._add(unit, upto, came, token)
-            found.append(node)
-        self.upto = np.concatenate([self.upto, np.array(upto)])
-        self.came = np.concatenate([self.came, np.array(came, np.int64)])
-        self.token = np.concatenate([self.token, np.array(token, np.int32)])
-        return np.array(found, np.int64)[inverse]
-
-    def _add(self, unit: str, upto: list, came: list, token: list) -> int:
-        weight, starts, power = self.pieces.weight, self.pieces.starts, self.power
-        n = len(unit)
-        arcs: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                part = unit[i:j]
-                if part not in starts:
-                    break
-                if part in weight:
-                    arcs[j].append((i, *weight[part]))
-        # The first node of a unit has no arc; the others follow in order, bytes between them.
-        node = self.nodes
-        self.first.append(node)
-        place, total = [node], [0.0]
-        for j in range(1, n + 1):
-            options = arcs[j]
-            if not options:
-                # No piece ends here: a character that the vocabulary lacks, as bytes.
-                raw = unit[j - 1].encode("utf-8", "surrogateescape")
-                for value in raw:
-                    node += 1
-                    upto.append(node + 1.0)
-                    came.append(node - 1)
-                    token.append(self.pieces.byte_id[value])
-                place.append(node)
-                total.append(total[j - 1])
-                continue
-            node += 1
-            scores = [total[i] + power * w for i, _, w in options]
-            top = max(scores)
-            shares = [exp(s - top) for s in scores]
-            whole = sum(shares)
-            total.append(top + log(whole))
-            place.append(node)
-            run = 0.0
-            for (i, piece, _), share in zip(options, shares):
-                run += share / whole
-                upto.append(node + run)
-                came.append(place[i])
-                token.append(piece)
-            upto[-1] = node + 1.0
-        self.nodes = node + 1
-        return node
-
-    def sample(self, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One segmentation per unit, walked from its end: all ids, and the number of each unit."""
+        alive = np.arange(len(start))
+        for n in range(1, pieces.longest + 1):
+            alive = alive[room[alive] >= n]
+            if not len(alive):
+                break
+            at = start[alive]
+            key = hashes.of(0, at, at + n)
+            place = np.minimum(np.searchsorted(pieces.first, key), len(pieces.first) - 1)
+            same = pieces.first[place] == key
+            alive, at, place = alive[same], at[same], place[same]
+            same = pieces.second[place] == hashes.of(1, at, at + n)
+            alive, at, token = alive[same], at[same], pieces.id[place[same]]
+            whole = token >= 0
+            spelled[alive[whole & (width[alive] == n)]] = True
+            found.append((at[whole], at[whole] + n, token[whole]))
+        rest = np.flatnonzero(~np.repeat(spelled, width))
+        found.append((rest, rest + 1, pieces.byte_id[data[rest]]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def sample(self, lattice: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One segmentation per unit, walked from its end: all ids, and the number of each unit.
+
+        ``lattice`` is the lattice of each unit, ``seed`` decides its draws.
+        """
         units, steps, ids = [], [], []
-        at, unit, step = last, np.arange(len(last)), 0
-        has_arc = np.ones(self.nodes, bool)
-        has_arc[self.first] = False
+        at, unit, step = self.last[lattice], np.arange(len(lattice)), 0
         while len(unit):
             draw = mix(seed[unit] + mix(np.full(len(unit), step + 1, np.uint64) * _STEP))
             u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -156,23 +176,18 @@ class Lattices:
             steps.append(np.full(len(unit), step))
             ids.append(self.token[arc])
             at = self.came[arc]
-            going = has_arc[at]
+            going = self.has_arc[at]
             at, unit, step = at[going], unit[going], step + 1
         if not units:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         unit = np.concatenate(units)
-        count = np.bincount(unit, minlength=len(last))
+        count = np.bincount(unit, minlength=len(lattice))
         ends = np.cumsum(count)
         made = np.empty(len(unit), np.int32)
         made[ends[unit] - 1 - np.concatenate(steps)] = np.concatenate(ids)
         return made, count
 
 
-@cache
-def _lattices(path: str, power: float) -> Lattices:
-    return Lattices(_pieces(path), power)
-
-
 def encode(
     texts: list[bytes], seeds: np.ndarray, path: str, power: float
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +196,12 @@ def encode(
     A space is put before every text that is not empty, as the vocabulary asks for. No piece has a
     space after another character or has a control character, so the lattice of a text falls apart
     into units before spaces and around control characters: sampling them one by one is sampling
-    the whole.
+    the whole. Equal units share a lattice.
     """
     data = np.frombuffer(b"".join(b" " + t if t else b"" for t in texts), np.uint8)
     size = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+    if not len(data):
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     first = np.cumsum(size) - size
     space, control = data == 0x20, data < 0x20
     start = np.zeros(len(data) + 1, bool)
@@ -193,14 +210,16 @@ def encode(
     start[:-1] |= control
     start[1:] |= control
     begin = np.flatnonzero(start[:-1])
-    end = np.append(begin[1:], len(data))[: len(begin)]
+    length = np.diff(np.append(begin, len(data)))
     doc = np.searchsorted(first, begin, side="right") - 1
-    number = np.arange(len(begin)) - np.searchsorted(begin, first[doc]) if len(begin) else begin
-    hashes = mix(rolling(data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0], begin, end))
-    store = _lattices(path, power)
-    last = store.last_nodes(hashes, lambda i: data[begin[i] : end[i]].tobytes())
+    number = np.arange(len(begin)) - np.searchsorted(begin, first[doc])
+    hashes = mix(rolling(data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0], begin, begin + length))
+    _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    own = length[index]
+    where = np.arange(int(own.sum())) + np.repeat(begin[index] - (np.cumsum(own) - own), own)
+    store = Lattices(_pieces(path), power, data[where], own)
     seed = mix(seeds[doc] + mix(number.astype(np.uint64) + np.uint64(1)))
-    ids, count = store.sample(last, seed)
+    ids, count = store.sample(inverse, seed)
     return ids, np.bincount(doc, count, len(texts)).astype(np.int64)
 
 
@@ -222,10 +241,12 @@ def row_seeds(keys: list[object], seed: int) -> np.ndarray:
 
 def encode_sampled(
     docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, power: float = 1.0,
-    path: str | None = None, carry: tuple[str, ...] = (),
+    path: str | None = None, carry: tuple[str, ...] = (), check: bool = False,
 ) -> DataFrame:
     """(key, carried columns, ids, n_tokens): one sampled segmentation per row of ``docs``.
 
+    With ``check`` the ids are decoded at once, and ``lossless`` tells whether that gives the text.
+
     A segmentation is drawn from the lattice of all pieces in proportion to the product of its
     pieces' weights to the ``power``; the draws depend on the row's key and ``seed`` alone, not on
     partitions, so equal rows get equal ids. Null and empty texts have no ids; a null key draws as
@@ -235,17 +256,22 @@ def encode_sampled(
     names = list(dict.fromkeys([key, *carry]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text="text to encode"):
+        for part in text_slices(batches, "text to encode", 1 << 20):
             raw = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
             seeds = row_seeds(part.column(0).to_pylist(), seed)
-            ids, counts = encode([t or b"" for t in raw], seeds, path, power)
+            raw = [t or b"" for t in raw]
+            ids, counts = encode(raw, seeds, path, power)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            made = pa.ListArray.from_arrays(offsets, ids), pa.array(counts)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*names, "ids", "n_tokens"])
+            made = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, ids), pa.array(counts)]
+            if check:
+                made.append(pa.array([a == b for a, b in zip(decode_ids(ids, counts, path), raw)]))
+            yield pa.RecordBatch.from_arrays(made, columns)
 
+    columns = [*names, "ids", "n_tokens", *["lossless"] * check]
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
     rows = docs.select(*names, F.col(text).cast("string").alias("text to encode"))
-    return rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "n_tokens bigint"]))
+    more = ["ids array<int>", "n_tokens bigint", *["lossless boolean"] * check]
+    return rows.mapInArrow(run, ", ".join([*kinds, *more]))
 
 
 def decoded(
@@ -256,12 +282,16 @@ def decoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            texts = decode_ids(flat.astype(np.int64), counts.astype(np.int64), path)
-            made = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
+            where = batch.schema.get_field_index(ids)
+            size = pa.compute.list_value_length(batch.column(where)).fill_null(0)
+            piece = np.cumsum(size.to_numpy(zero_copy_only=False)) // _DECODED
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(at, end - at)
+                counts = size.slice(at, end - at).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = part.column(where).flatten().to_numpy(zero_copy_only=False)
+                texts = pa.array(decode_ids(flat, counts, path), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], schema.names)
 
     schema = StructType([*tokens.schema.fields, StructField(into, StringType())])
     return tokens.mapInArrow(run, schema)

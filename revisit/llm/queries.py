@@ -139,8 +139,7 @@ def op6_backoff_lm(spark, folder):
 
 @query("op7_lattice")
 def op7_lattice(spark, folder):
-    made = lattice.decoded(lattice.encode_sampled(table(spark, folder, "documents"), carry=("text",)))
-    return made.select("doc_id", "n_tokens", "ids", F.expr("decoded = text").alias("lossless"))
+    return lattice.encode_sampled(table(spark, folder, "documents"), check=True)
 
 
 @query("op8_token_files")

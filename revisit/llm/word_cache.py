@@ -8,7 +8,7 @@ import numpy as np
 
 from revisit.llm.words import Words
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 class WordCache:

@@ -124,3 +124,4 @@ def text_slices(
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    pa.default_memory_pool().release_unused()  # idle workers give back what they can

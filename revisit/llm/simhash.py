@@ -17,7 +17,7 @@ from revisit.llm.words import text_slices, words_of
 from revisit.plans.durable import durable
 
 SEED = 42
-_SHINGLE_BATCH = 1 << 20
+_SHINGLE_BATCH = 1 << 17
 
 
 def fingerprint(texts: pa.Array, width: int = 3) -> np.ndarray:

@@ -108,7 +108,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def text_slices(
-    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2 << 20
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:

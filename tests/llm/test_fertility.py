@@ -7,7 +7,7 @@ import sentencepiece
 import tiktoken
 from fixtures_llm import plain_words, rows
 
-from revisit.llm.fertility import BANDS, judged, kept_documents
+from revisit.llm.fertility import BANDS, judged, kept_documents, labelled_bands
 from revisit.llm.queries import LLM_QUERIES
 
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -97,3 +97,29 @@ def test_odd_texts_and_unknown_languages(spark):
         same(r, text, BANDS[r.script])
     assert kept_documents(docs).schema == docs.schema
     assert judged(docs.limit(0)).count() == kept_documents(docs.limit(0)).count() == 0
+
+
+def test_every_measure_takes_part(spark, tiny, documents):
+    made = {r.doc_id: r for r in LLM_QUERIES["op2_fertility"](spark, tiny).collect()}
+    lang = {d["doc_id"]: d["lang"] for d in documents}
+    labels = {x["doc_id"]: x["quality"] for x in rows(tiny, "labels")}
+    junk = [made[k] for k, q in labels.items() if q == 0 and lang[k] == "en" and not made[k].base_failed]
+    assert junk
+    low = [r for r in junk if r.chars_per_piece < BANDS["en"].pieces or r.chars_per_byte_pair < BANDS["en"].byte_pairs]
+    assert len(low) >= 0.5 * len(junk)
+    plain = max((d for d in documents if lang[d["doc_id"]] == "en" and made[d["doc_id"]].kept), key=lambda d: len(d["text"]))
+    words = plain["text"].split()[:400]
+    for i in range(0, 400, 40):
+        words[i] += chr(0x12000 + i)  # a sign that the piece vocabulary spells as bytes
+    odd = " ".join(words)
+    (r,) = judged(spark.createDataFrame([(1, odd, "en")], "doc_id bigint, text string, lang string")).collect()
+    assert BANDS["en"].fallback < r.fallback_share < 0.1 and not r.kept
+
+
+def test_bands_are_fitted_to_labelled_texts(spark, tiny, documents):
+    good = {x["doc_id"] for x in rows(tiny, "labels") if x["quality"] == 1}
+    data = [(d["doc_id"], d["text"], d["lang"]) for d in documents if d["doc_id"] in good]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    bands = labelled_bands(docs, tail=0.1)
+    kept = [r for r in judged(docs, bands=bands | {k: v for k, v in BANDS.items() if k not in bands}).collect() if not r.base_failed]
+    assert set(bands) <= {"en", "de", "fr", "es"} and 0.5 * len(kept) <= sum(r.kept for r in kept) < len(kept)

@@ -197,12 +197,12 @@ def _content(page: _Page) -> list[bool]:
     path = [best]
     while path[-1]:
         path.append(page.parent[path[-1]])
-    # The subtree: of the article or main element around it, else of the next structural element.
+    # The subtree: of the outermost article or main element around it, else of the next structural one.
     marked = [i for i in path if page.tag[i] in ("article", "main")]
-    root = marked[0] if marked else next((i for i in path if page.tag[i] in STRUCTURE), 0)
+    root = marked[-1] if marked else next((i for i in path if page.tag[i] in STRUCTURE), 0)
     to_body = path[path.index(root) :]
     threshold = min((density[i] for i in to_body if page.tag[i] != "html"), default=0.0)
-    above = set() if marked else set(to_body[1:])
+    above = set(to_body[1:])
     keep = [False] * n
     in_header = [False] * n
     keep[root] = True

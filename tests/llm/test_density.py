@@ -56,6 +56,15 @@ def test_dense_block_beside_the_subtree():
     assert main_text(page).split("\n\n") == [A, A, B_TEXT, C]
 
 
+def test_several_articles_and_text_beside_one():
+    two = f"<body><nav>{MENU}</nav><article><p>{A}<p>{B}</article><article><p>{C}<p>{A}</article>"
+    assert main_text(two).split("\n\n") == [A, B_TEXT, C, A]
+    inside = f"<main><h1>Title</h1><p>{A}</p><article><p>{B}</p><p>{C}</p></article></main>"
+    assert main_text(inside).split("\n\n") == ["Title", A, B_TEXT, C]
+    beside = f"<body><p>{A}</p><article><p>{B}</p><p>{C}</p><p>{A}</p></article><div>{MENU}</div></body>"
+    assert main_text(beside).split("\n\n") == [A, B_TEXT, C, A]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "text" + "</div>" * 30_000
     pages = [

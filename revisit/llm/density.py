@@ -27,7 +27,10 @@ BLOCKS = frozenset(
 LISTS = frozenset("div dl ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = frozenset("article body center div main section td".split())
-# Words of class, id and role that mark what is not the article.
+# Elements that a class or id may mark as not the article; headings, paragraphs and spans it cannot.
+CONTAINERS = frozenset("center div dl ol section table td ul".split())
+# Words of class and id that mark what is not the article, if all other words of the name only say
+# where or what kind of box: "top-nav" does, "related-work" and "social-policy" do not.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs"
     " comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar"
@@ -35,6 +38,10 @@ ASIDE_WORDS = frozenset(
     " promotion related reply replies share sharing sidebar signup social sponsor sponsored"
     " subscribe subscription toolbar widget".split()
 )
+PLACE_WORDS = frozenset(
+    "area bar block bottom box col column container content global group head inner item items left list"
+    " main outer page primary right row secondary section site slot sub top unit wrap wrapper".split()
+)
 ASIDE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split()
 )
@@ -52,6 +59,17 @@ _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _OPEN_TAG_AT_END = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
+def _named_aside(name: str) -> bool:
+    parts = {p.lower() for p in _NAME_PARTS.findall(name)}
+    return not parts.isdisjoint(ASIDE_WORDS) and parts <= ASIDE_WORDS | PLACE_WORDS
+
+
+def _is_named_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a container's class or id names something beside the article."""
+    names = [w for name, value in attrs if value and name in ("class", "id") for w in value.split()]
+    return tag in CONTAINERS and any(map(_named_aside, names))
+
+
 def _is_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in ASIDES and not (tag == "header" and in_article):
         return True
@@ -60,12 +78,7 @@ def _is_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
     for name, value in attrs:
         if not value:
             continue
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _NAME_PARTS.findall(word)]
-                if parts and (parts[0] in ASIDE_WORDS or parts[-1] in ASIDE_WORDS):
-                    return True
-        elif name == "role" and value.strip().lower() in ASIDE_ROLES:
+        if name == "role" and value.strip().lower() in ASIDE_ROLES:
             return True
         elif name in ("hidden", "aria-hidden") and value != "false":
             return True
@@ -83,6 +96,8 @@ class _Page(HTMLParser):
         self.text: list[tuple[int, str] | None] = []
         self.open = [0]
         self.in_article = [False]
+        self.in_text = [False]  # of an article element
+        self.doubtful = [False]  # sections of an article that are named like what is beside it
         self.times = Counter()  # of open tags
 
     def _close_to(self, depth: int) -> None:
@@ -127,7 +142,11 @@ class _Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(up)
         self.hidden.append(self.hidden[up] or tag in HIDDEN)
-        self.aside.append(self.aside[up] or _is_aside(tag, attrs, in_article))
+        self.in_text.append(self.in_text[up] or tag == "article")
+        named = _is_named_aside(tag, attrs)
+        self.doubtful.append(named and tag == "section" and self.in_text[up])
+        beside = named and not self.doubtful[node]
+        self.aside.append(self.aside[up] or beside or _is_aside(tag, attrs, in_article))
         self.link.append(self.link[up] or tag == "a")
         self.tags.append(0)
         self.link_tags.append(0)
@@ -191,7 +210,9 @@ def _content(page: _Page) -> list[bool]:
     """By node, whether its own text belongs to the article."""
     n = len(page.tag)
     density, sums, chars, links, link_tags = _densities(page)
-    usable = [not (page.aside[i] or page.hidden[i]) for i in range(n)]
+    usable = [
+        not (page.aside[i] or page.hidden[i] or (page.doubtful[i] and 2 * links[i] > chars[i])) for i in range(n)
+    ]
     candidates = [i for i in range(n) if usable[i] and chars[i]]
     best = max(candidates, key=lambda i: (sums[i], density[i], -i), default=0)
     path = [best]
@@ -216,8 +237,12 @@ def _content(page: _Page) -> list[bool]:
             dense = density[i] >= threshold and 2 * links[i] < chars[i]
             keep[i] = usable[i] and dense and i not in above
             continue
-        many_links = link_tags[i] >= 3 and 10 * links[i] >= 6 * chars[i]
-        keep[i] = keep[up] and usable[i] and not (many_links and page.tag[i] in LISTS)
+        if page.in_article[i]:
+            # Only what can but be a menu: short labels, all of them links.
+            menu = page.tag[i] == "ul" and link_tags[i] >= 3 and links[i] == chars[i] < 8 * link_tags[i]
+        else:
+            menu = page.tag[i] in LISTS and link_tags[i] >= 3 and 10 * links[i] >= 6 * chars[i]
+        keep[i] = keep[up] and usable[i] and not menu
     return [k and not h for k, h in zip(keep, in_header)]
 
 

@@ -65,6 +65,19 @@ def test_several_articles_and_text_beside_one():
     assert main_text(beside).split("\n\n") == [A, B_TEXT, C, A]
 
 
+def test_names_and_links_inside_an_article():
+    names = "".join(f"<li><a href={i}>Somebody Longer-Name {i}</a>" for i in range(4))
+    table = "".join(f"<tr><td><a href={i}>City of Number {i}</a>" for i in range(4))
+    page = f"""<article><h2 id="related-work">Related work</h2><p id="notice-2">{A}</p>
+      <section id="social-policy"><h3 class="comment">Policy</h3><p>{B}</p></section>
+      <section id="related"><p>{C}</p></section><section class="related">{names}</section>
+      <div class="ad">Buy this.</div><ol>{names}</ol><table>{table}</table></article>
+      <div class="share-box">{A}</div>"""
+    listed = [f"Somebody Longer-Name {i}" for i in range(4)]
+    cities = [f"City of Number {i}" for i in range(4)]
+    assert main_text(page).split("\n\n") == ["Related work", A, "Policy", B_TEXT, C, *listed, *cities]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "text" + "</div>" * 30_000
     pages = [

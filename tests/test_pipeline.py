@@ -356,3 +356,26 @@ def test_shared_folder_on_any_file_system(spark, tmp_path, monkeypatch):
     with scratch(spark, "more") as place:
         spark.range(2).write.parquet(place)
     assert not list((tmp_path / "shared").iterdir())
+
+
+def test_forest_queries_grow_the_default_forests(spark, monkeypatch):
+    from workload import model_queries
+
+    class Asked(Exception):
+        pass
+
+    def learner_of(job, query):
+        def stop(*args, **kwargs):
+            raise Asked(next(a for a in args if hasattr(a, "getNumTrees")))
+
+        monkeypatch.setattr(model_queries.training, job, stop)
+        with pytest.raises(Asked) as asked:
+            query(spark, "/root/testdata/sf0.001")
+        monkeypatch.undo()
+        return asked.value.args[0].getNumTrees(), asked.value.args[0].getMaxDepth()
+
+    default = (forest().getNumTrees(), forest().getMaxDepth())
+    assert default == (120, 10)
+    assert learner_of("train", model_queries.forest_scores) == default
+    assert learner_of("retrain", model_queries.retrain_report) == default
+    assert learner_of("train", model_queries.alternative_forest_scores) == (150, 10)

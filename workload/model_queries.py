@@ -427,14 +427,17 @@ def payload_feature_matrix(spark, folder):
 # --------------------------------------------------------------------------------------- models
 
 
-def _small_forest():
-    return training.forest({"numTrees": 20, "maxDepth": 6})
-
-
 @query("forest_scores")
 def forest_scores(spark, folder):
     tables = domain_tables(spark, folder)
-    trained = training.train(tables, AS_OF, _small_forest())
+    trained = training.train(tables, AS_OF, training.forest())
+    return trained.model.predict(tables)
+
+
+@query("alternative_forest_scores")
+def alternative_forest_scores(spark, folder):
+    tables = domain_tables(spark, folder)
+    trained = training.train(tables, AS_OF, training.alternative_forest())
     return trained.model.predict(tables)
 
 
@@ -449,7 +452,7 @@ def retrain_report(spark, folder):
     """Evaluate on the later quarter, fit on everything, save, report."""
     path = new_path(spark, "model") + "/v2"
     tables = domain_tables(spark, folder)
-    return training.retrain(tables, AS_OF, path, "2", _small_forest())
+    return training.retrain(tables, AS_OF, path, "2", training.forest())
 
 
 @query("saved_model_scores")

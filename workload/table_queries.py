@@ -7,7 +7,7 @@ from revisit.functions.columns import columns_like, lower_names, with_prefix, wi
 from revisit.operators import encode, pivot
 from revisit.operators.client import client_scalars
 from revisit.operators.consolidate import Consolidation
-from revisit.operators.history import split_current_ever
+from revisit.operators.history import distinct_items_seen, split_current_ever
 from revisit.schema import CHILD_TABLES
 from revisit.sources.tables import children_of_events, conform, read_tables
 from workload.domain import (
@@ -268,17 +268,11 @@ def current_and_ever_flags(spark, folder):
     GROUP BY o.o_orderkey""",
 )
 def ever_flags_many_categories(spark, folder):
-    """One column per supplier: the many-category road of the pivot and of the ever flags."""
-    lines = table(spark, folder, "lineitem")
-    items = pivot.vocabulary({"supplier": (lines, "l_suppkey")})
-    counts = pivot.counted_items({"supplier": (lines, "l_orderkey", "l_suppkey")}, items)
-    joined = orders(spark, folder).join(
-        counts.withColumnRenamed("key", "o_orderkey"), "o_orderkey", "left"
-    )
-    wide = split_current_ever(pivot.spread(joined, items), ORDERS, ["supplier_"])
-    ever = [c for c in wide.columns if c.endswith("_ever")]
-    total = " + ".join(f"CAST({c} AS BIGINT)" for c in ever)
-    return wide.selectExpr("o_orderkey", f"{total} AS suppliers_so_far")
+    """Ever flags in their long form: how many suppliers each customer has had, at any vocabulary."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = orders(spark, folder)
+    seen = distinct_items_seen(rows, ORDERS, lines, "l_orderkey", "l_suppkey", "suppliers_so_far")
+    return seen.select("o_orderkey", "suppliers_so_far")
 
 
 @query(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import columns_like, named, quoted, quoted_all, ref
 from revisit.operators.hot import DEFAULT_POLICY, ORDINARY, HotPolicy, by_heat, join_per_key
 from revisit.operators.pivot import WIDE
+from revisit.operators.scan import Running, segmented_scan
 from revisit.operators.timeline import valid_events
 from revisit.schema import EventColumns
 
@@ -112,14 +113,15 @@ def distinct_items_seen(
     sighted = places.join(held, F.col("_moment.id") == F.col("_key"))
     firsts = sighted.groupBy("_entity", "_item").agg(F.min("_moment").alias("_moment"))
     new = firsts.groupBy("_entity", "_moment").agg(F.count(F.lit(1)).alias("_new"))
-    same = (F.col("_entity") == ref(cols.entity)) & moment.eqNullSafe(F.col("_moment"))
-    # Several rows of one event share its sightings; only the first of them adds.
-    history = Window.partitionBy(ref(cols.entity)).orderBy(ref(cols.ts), ref(cols.event_id))
-    peers = Window.partitionBy(ref(cols.entity), ref(cols.ts), ref(cols.event_id)).orderBy(F.lit(1))
-    counted = valid.join(new, same, "left").withColumn(
-        "_new", F.when(F.row_number().over(peers) == 1, F.coalesce("_new", F.lit(0))).otherwise(0)
+    # One row per distinct event; rows of equal time and id share its sightings.
+    apart = new.select(F.col("_entity").alias("_owner"), F.col("_moment").alias("_when"), "_new")
+    met = (F.col("_entity") == F.col("_owner")) & F.col("_moment").eqNullSafe(F.col("_when"))
+    distinct = places.distinct().join(apart, met, "left").select(
+        "_entity", "_moment", F.coalesce("_new", F.lit(0)).alias("_new")
     )
-    upto = history.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = counted.select(*quoted_all(events.columns), F.sum("_new").over(upto).alias(name))
+    # Counted along the history in range partitions: one entity may hold any share of the rows.
+    upto = segmented_scan(distinct, ["_entity"], ["_moment"], {"_seen": Running("sum", "_new")})
+    same = (F.col("_entity") == ref(cols.entity)) & moment.eqNullSafe(F.col("_moment"))
+    seen = valid.join(upto, same).select(*quoted_all(events.columns), F.col("_seen").alias(name))
     rest = events.where(ref(cols.entity).isNull() | ref(cols.ts).isNull())
     return seen.unionByName(rest.withColumn(name, F.lit(0).cast("bigint")))

@@ -12,6 +12,7 @@ from revisit.llm import (
     fertility,
     lattice,
     line_dedup,
+    prefix_trie,
     simhash,
     snapshots,
     substring_dedup,
@@ -163,4 +164,48 @@ def op10_simhash(spark, folder):
     )
 
 
+# Prefixes as texts, subtrees as pairs of nodes and ancestors. crc32 is worked out digit by digit.
+_TRIE = """
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+               CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    conv AS (
+      SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+                           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS said
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    cut AS (
+      SELECT conv_id, said, xor(4294967295, list_reduce(
+               list_prepend(4294967295, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1),
+                            lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 9 AS h
+      FROM conv, crc),
+    made AS (
+      SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS said
+      FROM cut c LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    path AS (
+      SELECT conv_id, d, md5(CAST(to_json(said[1:d]) AS VARCHAR)) AS node, d = len(said) AS ended,
+             CASE WHEN d > 0 THEN md5(CAST(to_json(said[1:d - 1]) AS VARCHAR)) END AS parent,
+             CASE WHEN d > 0 THEN strlen(said[d].x) ELSE 0 END AS bytes
+      FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM made)),
+    node AS (
+      SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs,
+             (count(*) - 1) * min(bytes) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+      FROM path GROUP BY node),
+    kids AS (SELECT parent, count(*) AS n FROM node GROUP BY parent),
+    total AS (
+      SELECT p.node, count(*) FILTER (k.n IS NULL) AS n_leaves, sum(u.saved) AS saved
+      FROM node u JOIN path p ON p.conv_id = u.conv_id AND p.d <= u.depth
+      LEFT JOIN kids k ON k.parent = u.node GROUP BY p.node)
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children,
+           t.n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+    FROM node v JOIN total t USING (node) LEFT JOIN node p ON p.node = v.parent
+    LEFT JOIN kids k ON k.parent = v.node"""
+
+
+@query("op12_prefix_trie", _TRIE)
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.shared_prefixes(table(spark, folder, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

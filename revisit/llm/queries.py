@@ -12,6 +12,7 @@ from revisit.llm import (
     fertility,
     lattice,
     line_dedup,
+    mask_search,
     prefix_trie,
     simhash,
     snapshots,
@@ -164,6 +165,39 @@ def op10_simhash(spark, folder):
     )
 
 
+# Every document scored for every item.
+_RANKED = """
+    WITH doc AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    item AS (
+      SELECT item_id, unnest(list_distinct(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+    size AS (
+      SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM doc WHERE len(t) > 0),
+    held AS (
+      SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM doc)
+      WHERE term IN (SELECT term FROM item) GROUP BY doc_id, n, term),
+    weight AS (
+      SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM held, size GROUP BY term, docs),
+    scored AS (
+      SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 *
+               (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM item JOIN held USING (term) JOIN weight USING (term), size GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+          FROM scored WHERE score > 0)
+    WHERE rank <= 50"""
+
+
+@query("op11_mask_search", _RANKED)
+def op11_mask_search(spark, folder):
+    return mask_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # Prefixes as texts, subtrees as pairs of nodes and ancestors. crc32 is worked out digit by digit.
 _TRIE = """
     WITH crc AS (

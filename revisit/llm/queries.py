@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revisit.llm import (
     backoff_lm,
+    byte_gru,
     decontamination,
     density,
     fertility,
@@ -242,4 +243,9 @@ def op12_prefix_trie(spark, folder):
     return prefix_trie.shared_prefixes(table(spark, folder, "conversations"))
 
 
+@query("op13_byte_gru")
+def op13_byte_gru(spark, folder):
+    return byte_gru.identify(table(spark, folder, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ class FeatureSettings:
     encode_counts: bool = False
     strict_past: bool = False
     max_categories: int = MAX_CATEGORIES
+    sparse: bool = False  # items in sparse vectors instead of columns, without ``max_categories``
     extra_stages: Sequence[Transformer] = field(default_factory=list)
 
 
@@ -79,8 +81,18 @@ class FeaturePipeline:
         """
         s = settings or FeatureSettings()
         consolidation = Consolidation.fit(tables, as_of, s.encode_counts, s.max_categories)
+        made = cls.unaligned(consolidation, tables, s)
+        rows = made.rows(tables, labelled=True, policy=policy)
+        made.aligner = AlignSchema().fit(rows)
+        return made, made.aligner.transform(label(rows))
+
+    @classmethod
+    def unaligned(
+        cls, consolidation: Consolidation, tables: Mapping[str, DataFrame], s: FeatureSettings
+    ) -> FeaturePipeline:
+        """All steps but the last, with the first event time learned."""
         events = consolidation.bare_events(tables)
-        made = cls(
+        return cls(
             consolidation=consolidation,
             future=FutureScore(
                 window=s.window, breakDays=s.break_days, coefficient=float(s.break_coefficient)
@@ -90,14 +102,21 @@ class FeaturePipeline:
             ever=CurrentEver(classes=list(s.split_classes)),
             extra=list(s.extra_stages),
         )
-        rows = made.rows(tables, labelled=True, policy=policy)
-        made.aligner = AlignSchema().fit(rows)
-        return made, made.aligner.transform(label(rows))
 
     @property
     def column_schema(self) -> list[str]:
         return self.aligner.schema()
 
+    @property
+    def width(self) -> int:
+        return len(self.column_schema)
+
+    def assembler(self) -> list[Transformer]:
+        """Stages between the rows and the learner."""
+        return [
+            VectorAssembler(inputCols=self.column_schema, outputCol="features", handleInvalid="error")
+        ]
+
     def rows(
         self,
         tables: Mapping[str, DataFrame],
@@ -148,9 +167,9 @@ class FeaturePipeline:
 
     # -------------------------------------------------------------------- storage
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """State as one line of JSON, stages as a Spark ML pipeline."""
-        state = json.dumps(self.consolidation.to_state())
+    def save(self, spark: SparkSession, path: str, more: Mapping | None = None) -> None:
+        """State (and ``more`` of it) as one line of JSON, stages as a Spark ML pipeline."""
+        state = json.dumps({**self.consolidation.to_state(), **(more or {})})
         spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/consolidation"
         )

@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
 from revisit.operators.split import matured, temporal_split
 from revisit.plans.durable import durable
 from revisit.plans.features import FeaturePipeline, FeatureSettings
+from revisit.plans.sparse import SparseFeatures, load_features
 from revisit.schema import CLIENT_KEY, MASTER
 from revisit.sources.sinks import score_rows
 
@@ -44,29 +44,28 @@ def alternative_forest(hyperparams: Mapping | None = None) -> Estimator:
     return forest(hyperparams, ALTERNATIVE_TREES)
 
 
-def ridge(strength: float = 1.0) -> Estimator:
-    """Linear regression with an L2 penalty."""
+def ridge(strength: float = 1.0, solver: str = "auto") -> Estimator:
+    """Linear regression with an L2 penalty.
+
+    With some thousand features or more take the solver ``l-bfgs``: the normal equations have the
+    square of their number as cells.
+    """
     return LinearRegression(
-        featuresCol="features", labelCol="label", elasticNetParam=0.0, regParam=strength
+        featuresCol="features", labelCol="label", elasticNetParam=0.0, regParam=strength, solver=solver
     )
 
 
-def assembler(columns: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error")
-
-
-def fit_regressor(rows: DataFrame, columns: Sequence[str], learner: Estimator | None = None):
-    """Fit on ``rows`` (feature columns and ``label``); returns assembler and model as one."""
-    gather = assembler(columns)
-    vectors = gather.transform(rows).select("features", "label")
-    return PipelineModel([gather, (learner or forest()).fit(vectors)])
+def fit_regressor(rows: DataFrame, stages: Sequence[Transformer], learner: Estimator | None = None):
+    """Fit on ``rows`` with ``label`` after ``stages`` that make ``features``; returns all as one."""
+    vectors = PipelineModel(list(stages)).transform(rows).select("features", "label")
+    return PipelineModel([*stages, (learner or forest()).fit(vectors)])
 
 
 @dataclass
 class ScoringModel:
     """Feature steps and regressor, saved and loaded together."""
 
-    features: FeaturePipeline
+    features: FeaturePipeline | SparseFeatures
     regressor: PipelineModel
     version: str = "1"
 
@@ -88,7 +87,7 @@ class ScoringModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ScoringModel:
         return cls(
-            FeaturePipeline.load(spark, f"{path}/features"),
+            load_features(spark, f"{path}/features"),
             PipelineModel.load(f"{path}/regressor"),
             spark.read.text(f"{path}/version").first()[0],
         )
@@ -106,15 +105,19 @@ def training_matrix(
     as_of: str | datetime,
     settings: FeatureSettings | None = None,
     policy: HotPolicy = DEFAULT_POLICY,
-) -> tuple[FeaturePipeline, DataFrame]:
+) -> tuple[FeaturePipeline | SparseFeatures, DataFrame]:
     """Fit the features and give the rows whose label is complete.
 
     The rows are written once: learners read them many times, and a lost executor then costs a
     re-read instead of all joins and windows.
     """
     settings = settings or FeatureSettings()
-    features, rows = FeaturePipeline.fit_transform(tables, as_of, settings, policy)
-    return features, matured(durable(rows, "features"), MASTER.ts, settings.window)
+    if settings.sparse:  # written as they are made
+        features, rows = SparseFeatures.fit_transform(tables, as_of, settings, policy)
+    else:
+        features, rows = FeaturePipeline.fit_transform(tables, as_of, settings, policy)
+        rows = durable(rows, "features")
+    return features, matured(rows, MASTER.ts, settings.window)
 
 
 def train(
@@ -134,13 +137,12 @@ def train(
 
 
 def _fit(features, matrix, learner, test, test_share, threshold, version, policy) -> Trained:
-    columns = features.column_schema
     by_client = replace(MASTER, entity=CLIENT_KEY)  # events without a client row are not judged
     metrics = None
     part = matrix
     if test:
         part, held_out = temporal_split(matrix, MASTER, test_share)
-    regressor = fit_regressor(part, columns, learner)
+    regressor = fit_regressor(part, features.assembler(), learner)
     if test:
         # Each row is scored once; the evaluation reads a few narrow columns several times.
         scored = durable(
@@ -179,7 +181,7 @@ def report(trained: Trained, metrics: DataFrame) -> DataFrame:
     rows = trained.matrix.count()
     return metrics.select(
         F.lit(rows).cast("bigint").alias("training_rows"),
-        F.lit(len(trained.model.features.column_schema)).alias("feature_columns"),
+        F.lit(trained.model.features.width).alias("feature_columns"),
         "spearman",
         "overlap",
         F.lit(trained.model.version).alias("model_version"),

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
 from revisit.operators import align as aligning
-from revisit.operators import encode, flagging, history, split, timeline
+from revisit.operators import encode, flagging, history, split, timeline, vocabulary
 from revisit.operators import evaluate as quality
 from revisit.operators.ranks import exact_quantile, order_statistic
 from revisit.plans import train as training
 from revisit.plans.durable import durable, new_path
 from revisit.plans.features import FeaturePipeline, FeatureSettings
 from revisit.plans.score import score_json, support_flags
+from revisit.plans.sparse import SparseFeatures
 from revisit.schema import CHILD_TABLES, MASTER, TABLE_SCHEMAS
 from revisit.sources.payloads import (
     inferred_text_schema,
@@ -424,6 +425,106 @@ def payload_feature_matrix(spark, folder):
     return features.transform(tables).select(MASTER.event_id, *features.column_schema)
 
 
+# --------------------------------------------------------------------------- sparse features
+
+
+@query("sparse_equivalence", "SELECT count(*) AS events, 0::BIGINT AS different FROM orders")
+def sparse_equivalence(spark, folder):
+    """Entries of the sparse vectors against the cells of the dense matrix, by event and column."""
+    tables = domain_tables(spark, folder)
+    dense, rows = FeaturePipeline.fit_transform(tables, AS_OF)
+    sparse, _ = SparseFeatures.fit_transform(tables, AS_OF)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in dense.column_schema])
+    wide = rows.select(MASTER.event_id, F.inline(cells)).where("value <> 0")
+    entries = sparse.entries(tables).select(MASTER.event_id, F.inline("cells"))
+    long = entries.join(sparse.names(), F.col("i") == F.col("place")).select(
+        MASTER.event_id, "column", F.col("v").alias("other")
+    )
+    both = wide.join(long, [MASTER.event_id, "column"], "full")
+    wrong = both.where(F.coalesce(F.abs(F.col("value") - F.col("other")) > 1e-9, F.lit(True)))
+    wrong = wrong.groupBy(MASTER.event_id).agg(F.lit(True).alias("wrong"))
+    events = rows.select(MASTER.event_id).join(wrong, MASTER.event_id, "left")
+    return events.agg(F.count("*").alias("events"), F.count_if(F.coalesce("wrong", F.lit(False))).alias("different"))
+
+
+@query(
+    "part_vocabulary",
+    """
+    SELECT 'part' AS name, CAST(l_partkey AS VARCHAR) AS item, count(*) AS frequency,
+           row_number() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 AS place
+    FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey""",
+)
+def part_vocabulary(spark, folder):
+    """A vocabulary of all parts as a table: ids by counting, nothing on the driver."""
+    lines = table(spark, folder, "lineitem")
+    items = vocabulary.long_items({"part": (lines, "l_orderkey", "l_partkey")})
+    return vocabulary.with_places(vocabulary.frequencies_of(items)).drop("second")
+
+
+def _part_tables(spark, folder):
+    """Domain tables in which the issues of an event are its parts, and other children are empty."""
+    tables = domain_tables(spark, folder)
+    lines = table(spark, folder, "lineitem")
+    empty = {name: tables[name].where(F.lit(False)) for name in CHILD_TABLES}
+    parts = lines.select(
+        F.col("l_orderkey").alias("referralinstanceid"), F.col("l_partkey").cast("bigint").alias("clientissueid")
+    )
+    return {**tables, **empty, "referralissue": parts}
+
+
+@query(
+    "sparse_part_features",
+    """
+    WITH l AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    firsts AS (
+      SELECT o_custkey, l_partkey, min((o_orderdate, o_orderkey)) AS m
+      FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    now AS (SELECT l_orderkey, count(*) AS parts, sum(n) AS lines, sum(l_partkey) AS ids FROM l GROUP BY 1),
+    ever AS (
+      SELECT o_orderkey, count(*) AS parts, sum(f.l_partkey) AS ids
+      FROM orders o JOIN firsts f ON f.o_custkey = o.o_custkey AND f.m <= (o.o_orderdate, o.o_orderkey)
+      GROUP BY 1)
+    SELECT o.o_orderkey, coalesce(now.parts, 0) AS parts, CAST(coalesce(now.lines, 0) AS DOUBLE) AS lines,
+           CAST(coalesce(now.ids, 0) AS BIGINT) AS part_ids, coalesce(ever.parts, 0) AS parts_ever,
+           CAST(coalesce(ever.ids, 0) AS BIGINT) AS part_ids_ever
+    FROM orders o LEFT JOIN now ON l_orderkey = o.o_orderkey LEFT JOIN ever ON ever.o_orderkey = o.o_orderkey""",
+)
+def sparse_part_features(spark, folder):
+    """Counts and ever flags of all parts (20,000 at sf0.1) in sparse vectors, read back by place."""
+    tables = _part_tables(spark, folder)
+    fitted, _ = SparseFeatures.fit_transform(tables, AS_OF)
+    entries = fitted.entries(tables)
+    first = len(fitted.scalar.column_schema)
+    places = fitted.vocabulary.where("name = 'referralissue'").select(
+        F.col("item").cast("bigint").alias("part"),
+        F.inline(F.array(*[
+            F.struct((F.col(c) + first).alias("i"), F.lit(c == "second").alias("ever")) for c in ("place", "second")
+        ])),
+    )
+    found = entries.select(MASTER.event_id, F.inline("cells")).join(places, "i")
+    now = F.when(~F.col("ever"), F.lit(1))
+    sums = found.groupBy(MASTER.event_id).agg(
+        F.count(now).alias("parts"),
+        F.coalesce(F.sum(F.when(~F.col("ever"), F.col("v"))), F.lit(0.0)).alias("lines"),
+        F.coalesce(F.sum(F.when(~F.col("ever"), F.col("part"))), F.lit(0)).alias("part_ids"),
+        F.count_if("ever").alias("parts_ever"),
+        F.coalesce(F.sum(F.when(F.col("ever"), F.col("part"))), F.lit(0)).alias("part_ids_ever"),
+    )
+    whole = entries.select(MASTER.event_id).join(sums, MASTER.event_id, "left").fillna(0)
+    return whole.withColumnRenamed(MASTER.event_id, "o_orderkey")
+
+
+@query("sparse_scores", "SELECT count(*) AS events, 0::BIGINT AS different FROM orders")
+def sparse_scores(spark, folder):
+    """A ridge model on sparse vectors of all parts: trained, saved, loaded, compared with itself."""
+    path = new_path(spark, "model")
+    tables = _part_tables(spark, folder)
+    learner = training.ridge(0.1, "l-bfgs")
+    model = training.train(tables, AS_OF, learner, FeatureSettings(sparse=True)).model
+    model.save(spark, path)
+    return _different(model.predict(tables), training.ScoringModel.load(spark, path).predict(tables))
+
+
 # --------------------------------------------------------------------------------------- models
 
 

@@ -14,6 +14,7 @@ from revisit.plans.features import FeaturePipeline, FeatureSettings
 from revisit.plans.score import score_json, support_flags
 from revisit.plans.sparse import SparseFeatures
 from revisit.schema import CHILD_TABLES, MASTER, TABLE_SCHEMAS
+from revisit.sources.json_array import read_payload_array
 from revisit.sources.payloads import (
     inferred_text_schema,
     parse_payloads,
@@ -413,6 +414,27 @@ def json_file_tables(spark, folder):
     )
 
 
+@query(
+    "json_array_tables",
+    """
+    SELECT l_orderkey AS referralinstanceid, l_linenumber::BIGINT AS clientissueid, count(*) AS n
+    FROM lineitem GROUP BY 1, 2""",
+)
+def json_array_tables(spark, folder):
+    """The same through one file with one array on one line, read by several tasks."""
+    path = new_path(spark, "payloads") + "/array"
+    lines = _payload_lines(spark, folder)
+    # The array's first object has no comma before it.
+    parts = spark.createDataFrame([('[{"client": []}',)], "value string").unionByName(
+        lines.select(F.concat(F.lit(", "), "body").alias("value"))
+    ).unionByName(spark.createDataFrame([("]",)], "value string"))
+    parts.coalesce(1).write.option("lineSep", " ").text(path)
+    tables = payload_tables(read_payload_array(spark, path))
+    return tables["referralissue"].groupBy("referralinstanceid", "clientissueid").agg(
+        F.count("*").alias("n")
+    )
+
+
 @query("payload_feature_matrix", _feature_sql(("referral_householdsize",)))
 def payload_feature_matrix(spark, folder):
     """JSON text to tables to features, with feature state that went through storage."""

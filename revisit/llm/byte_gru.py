@@ -30,6 +30,7 @@ LETTER = r"\p{L}"
 LANGUAGES = 64
 SAMPLE_TEXTS = 2000
 TEXT_PIECES = 6
+_SPARE = 8  # so many times the texts that are wanted are ranked by hash
 
 STEPS, BATCH, RATE, SEED = 360, 128, 0.01, 29  # training steps at any size of the sample
 _ROWS = 2048  # pieces that are read side by side
@@ -225,19 +226,19 @@ def _sample_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = [
             (order, lang, i, piece)
-            for order, lang, text in zip(*(batch.column(c).to_pylist() for c in ("place", "lang", "text")))
+            for order, lang, text in zip(*(batch.column(c).to_pylist() for c in ("hash", "lang", "text")))
             for i, piece in enumerate(_spread_pieces(text.encode()))
         ]
         if rows:
             yield pa.record_batch(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.binary()))],
-                names=["place", "lang", "i", "piece"],
+                names=["hash", "lang", "i", "piece"],
             )
 
 
 def _train(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
-    rows.sort(key=lambda r: (r["lang"], r["place"], r["i"], r["piece"]))
+    rows.sort(key=lambda r: (r["lang"], r["hash"], r["i"], r["piece"]))
     if not rows:
         return
     number = {lang: i for i, lang in enumerate(languages)}
@@ -257,22 +258,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", texts: in
     """A network fitted to ``labelled``; None if no text with a letter has a language.
 
     The sample is bounded: the ``LANGUAGES`` commonest languages, of each an equal share of ``texts``
-    texts (those with the smallest hashes), of each text ``TEXT_PIECES`` pieces all over it.
+    distinct texts (chosen by their hashes), of each text ``TEXT_PIECES`` pieces all over it.
     """
     known = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in counts.collect())
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
-    by_hash = Window.partitionBy("lang").orderBy("hash", "text")
-    hashed = known.where(F.col("lang").isin(languages)).withColumn("hash", F.xxhash64("text", F.lit(3)))
-    # Few rows of a language leave a task, since only the first ranks are asked for.
-    ranked = hashed.withColumn("place", F.row_number().over(by_hash).cast("long"))
-    chosen = ranked.where(F.col("place") <= max(texts // len(languages), 1))
-    pieces = chosen.select("place", "lang", "text").mapInArrow(
-        _sample_pieces, "place long, lang string, i long, piece binary"
-    )
+    quota = max(texts // len(languages), 1)
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, _SPARE * quota / n))])
+    hashed = known.withColumn("hash", F.xxhash64("text", F.lit(3)))
+    some = F.pmod("hash", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30)
+    few = hashed.where(F.col("lang").isin(languages)).where(some).select("lang", "hash").distinct()
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    chosen = durable(ranked.where(F.col("place") <= quota).drop("place"), "training-texts")
+    # At most ``texts`` rows, or one a language; copies of a text give the same pieces.
+    read = hashed.join(F.broadcast(chosen), ["lang", "hash"]).select("hash", "lang", "text")
+    pieces = read.mapInArrow(_sample_pieces, "hash long, lang string, i long, piece binary")
+    pieces = pieces.groupBy("hash", "lang", "i").agg(F.min("piece").alias("piece"))
     body = durable(
         durable(pieces, "training-pieces").repartition(1).mapInArrow(lambda b: _train(b, languages), "net binary"),
         "network",

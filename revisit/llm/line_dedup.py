@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.llm.bounded import small
+from revisit.llm.bounded import MOST_BROADCAST, small
+from revisit.llm.copies import Copies, marks, split_by_marks
 from revisit.plans.durable import durable
 
+# Lines of fewer words go only if they are equal; one word of so many characters is compared by them.
 MIN_WORDS = 5
+MIN_CHARS = 20
+_ONE_LONG_WORD = r"\A[\x20\x09-\x0D]*+[^\x20\x09-\x0D]{%d,}+[\x20\x09-\x0D]*\z" % MIN_CHARS
 
 
-def line_words(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+def _with_units(lines: DataFrame) -> DataFrame:
+    """``lines`` with their column ``line`` replaced by ``words``: what an edit changes.
+
+    These are the line's words in lower case. A line without spaces is as many units as it has
+    characters, if it is long; two empty units in front keep it apart from lines of words.
+    """
+    others = [c for c in lines.columns if c != "line"]
+    line = F.lower("line")
+    words = F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    characters = F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]"), F.lit(0))
+    # Most lines have a space and are not matched; a line is split one way only.
+    long_word = ~F.contains(F.trim("line"), F.lit(" ")) & line.rlike(_ONE_LONG_WORD)
+    units = F.when(long_word, F.concat(F.array(F.lit(""), F.lit("")), characters)).otherwise(words)
+    return lines.select(*others, units.alias("words"))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,6 +39,9 @@ def _identity() -> list[Column]:
     return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
 
 
+SIDES = ("first", "last")
+
+
 def _half(n: Column, less: int) -> Column:
     return F.floor((n - less) / 2).cast("int")
 
@@ -39,7 +58,7 @@ def _halves(side: str) -> Column:
         a = _half(n, less)
         begin = F.lit(1) if side == "first" else n - a + 1
         found.append(F.xxhash64(F.lit(side), a, F.slice("words", begin, a)))
-    return F.array_distinct(F.array(*found)).alias(side)
+    return F.array_distinct(F.array(*found))
 
 
 def repeated_lines(
@@ -48,10 +67,12 @@ def repeated_lines(
     """(key, line, kept_key, kept_line, exact): every line to be removed and the one that stands for it.
 
     Lines are what \\n separates, numbered from 0 and compared as words in lower case. A line goes if
-    an earlier line, by (key, number), has the same words or words that differ by one edit (one
-    word changed, left out or put in); of equal lines the first stays. Whether it goes is judged on
-    the input, and the kept line named is the earliest within one edit of it, or else the first that is equal.
-    Lines with fewer than ``min_words`` words are left alone.
+    an earlier line, by (key, number), has the same words; of equal lines the first stays. Lines of
+    ``min_words`` words or more also go if an earlier one differs by one edit (one word changed, left
+    out or put in). A line that is one word of ``MIN_CHARS`` characters or more (writing without
+    spaces) is compared by its characters, one of which may differ. Whether a line goes is judged on
+    the input, and the kept line named is the earliest within one edit of it, or else the first that
+    is equal. Lines without a word are left alone.
 
     Method: distinct lines that share no half with another one have no partner. The others emit
     one variant per left-out word, keyed by its hash and place, and themselves; lines meet in equal
@@ -62,41 +83,54 @@ def repeated_lines(
     keys are one place: equal lines with equal keys and numbers do not remove each other. Other
     columns are not read.
     """
-    split = _lines(docs, key, text)
-    lines = split.select("doc", "pos", line_words("line").alias("words")).where(F.size("words") >= min_words)
-    lines = durable(lines.select("doc", "pos", *_identity(), _halves("first"), _halves("last")), "lines")
+    return _repeated(docs, key, text, min_words, Copies(docs.sparkSession))
+
+
+def _repeated(docs: DataFrame, key: str, text: str, min_words: int, copies: Copies) -> DataFrame:
+    """``repeated_lines``; ``copies`` are those that the result reads."""
+    passing = Copies(docs.sparkSession)
+    lines = _with_units(_lines(docs, key, text)).where("size(words) > 0")
+    some = F.size("words") >= min_words
+    halves = [F.when(some, _halves(side)).otherwise(F.array().cast("array<bigint>")).alias(side) for side in SIDES]
+    lines = copies.keep(lines.select("doc", "pos", *_identity(), *halves), "lines")
     distinct = lines.groupBy("h1", "h2").agg(
         F.min(F.struct("doc", "pos")).alias("place"),
         F.count("*").alias("times"),
         F.first("first").alias("first"),
         F.first("last").alias("last"),
     )
-    distinct = durable(distinct, "distinct-lines")
+    distinct = passing.keep(distinct, "distinct-lines")
 
     # Lines that share a half with another line, and on which side.
     sides = [
-        distinct.select("h1", "h2", F.lit(side).alias("side"), F.explode(side).alias("half"))
-        for side in ("first", "last")
+        distinct.select("h1", "h2", F.lit(side).alias("side"), F.explode(side).alias("half")) for side in SIDES
     ]
     halves = sides[0].union(sides[1])
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    near = halves.join(durable(shared, "halves"), "half").groupBy("h1", "h2").agg(
+    near = halves.join(passing.keep(shared, "halves"), "half").groupBy("h1", "h2").agg(
         F.bool_or(F.col("side") == "first").alias("by_first"), F.bool_or(F.col("side") == "last").alias("by_last")
     )
     near = distinct.select("h1", "h2", "place").join(near, ["h1", "h2"])
-    near = durable(near.withColumnsRenamed({"h1": "g1", "h2": "g2"}), "near-lines")
-    texts = split.join(small(near), _at("doc", "pos", "place")).withColumn("words", line_words("line"))
+    near = passing.keep(near.withColumnsRenamed({"h1": "g1", "h2": "g2"}), "near-lines")
+    asked = docs.select(key, text)
+    if near.count() <= MOST_BROADCAST:
+        near = F.broadcast(near)
+    else:  # only lines of documents that have such a line move
+        named = passing.keep(marks(near.select(F.col("place.doc").alias("doc")), "doc"), "near-marks")
+        asked, _ = split_by_marks(asked, key, named)
+    texts = _with_units(_lines(asked, key, text).join(near, _at("doc", "pos", "place")))
     texts = texts.select(*_identity(), "g1", "g2", "place", "by_first", "by_last", "words")
     texts = texts.where("h1 = g1 AND h2 = g2").drop("g1", "g2").dropDuplicates(["h1", "h2"])
-    texts = durable(texts, "near-line-words")
+    texts = passing.keep(texts, "near-line-words")
 
-    found = _partners(texts).withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    found = _partners(texts, passing).withColumnsRenamed({"h1": "g1", "h2": "g2"})
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     decided = distinct.select("h1", "h2", "place", "times").join(found, same, "left")
     decided = decided.where("times > 1 OR partner IS NOT NULL").select(
         F.col("h1").alias("g1"), F.col("h2").alias("g2"), "place", "partner"
     )
-    decided = small(durable(decided, "line-decisions"))
+    decided = small(copies.keep(decided, "line-decisions"))
+    passing.forget()
     kept = F.coalesce("partner", "place")
     return (
         lines.select("doc", "pos", "h1", "h2")
@@ -153,20 +187,20 @@ def _variants(texts: DataFrame) -> DataFrame:
     return left_out.union(itself.select("v0", "v1", F.lit(-1).alias("p"), "doc", "pos"))
 
 
-def _partners(texts: DataFrame) -> DataFrame:
+def _partners(texts: DataFrame, copies: Copies) -> DataFrame:
     """(h1, h2, partner): the earliest line within one edit of each line, where it is earlier."""
-    variants = durable(_variants(texts), "line-variants")
+    variants = copies.keep(_variants(texts), "line-variants")
     met = variants.groupBy("v0", "v1").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    variants = durable(variants.join(durable(met, "equal-variants"), ["v0", "v1"]), "met-variants")
+    variants = copies.keep(variants.join(copies.keep(met, "equal-variants"), ["v0", "v1"]), "met-variants")
 
     # The earliest line of a variant: with the same word left out, or one word shorter or longer.
     own = F.struct("doc", "pos", "p")
     changed = variants.where("p >= 0").groupBy("v0", "v1", "p").agg(F.min(own).alias("other"), F.count("*").alias("n"))
-    changed = durable(changed.where("n > 1").drop("n"), "changed-words")
+    changed = copies.keep(changed.where("n > 1").drop("n"), "changed-words")
     lengths = variants.groupBy("v0", "v1").agg(
         F.min(F.when(F.col("p") < 0, own)).alias("shorter"), F.min(F.when(F.col("p") >= 0, own)).alias("longer")
     )
-    lengths = durable(lengths.where("shorter IS NOT NULL AND longer IS NOT NULL"), "left-out-words")
+    lengths = copies.keep(lengths.where("shorter IS NOT NULL AND longer IS NOT NULL"), "left-out-words")
     other = F.when(F.col("p") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("other")
     pairs = variants.join(changed, ["v0", "v1", "p"]).select("doc", "pos", "p", "other").union(
         variants.join(lengths, ["v0", "v1"]).select("doc", "pos", "p", other)
@@ -197,11 +231,15 @@ def without_repeated_lines(
 
     All rows stay, a text that loses all its lines is empty; null texts stay null.
     """
-    gone = repeated_lines(docs.select(key, text), key, text, min_words)
+    copies = Copies(docs.sparkSession)
+    gone = _repeated(docs.select(key, text), key, text, min_words, copies)
     gone = gone.groupBy(F.col(key).alias("cut key")).agg(F.collect_set("line").alias("cut lines"))
     gone = durable(gone, "cut-lines")
-    split = docs.join(gone, docs[key].eqNullSafe(gone["cut key"]), "left").select(
-        docs["*"], "cut lines", F.split(docs[text], "\n").alias("all lines")
+    copies.forget()
+    # Documents that lose no line stay where they are; the others meet their lines by key.
+    touched, whole = split_by_marks(docs, key, durable(marks(gone, "cut key"), "cut-marks"))
+    split = touched.join(gone.hint("merge"), touched[key].eqNullSafe(gone["cut key"]), "left").select(
+        touched["*"], "cut lines", F.split(touched[text], "\n").alias("all lines")
     )
     stay = F.array_except(F.sequence(F.lit(0), F.size("all lines") - 1), "cut lines")
     rest = F.array_join(F.transform(stay, lambda i: F.get("all lines", i)), "\n")
@@ -212,4 +250,4 @@ def without_repeated_lines(
         kind = docs.schema[length].dataType
         new = F.length("new text").cast(kind)
         made[length] = F.when(cut, new).otherwise(joined[length]).alias(length)
-    return joined.select(*[made.get(c, joined[c]) for c in docs.columns])
+    return joined.select(*[made.get(c, joined[c]) for c in docs.columns]).union(whole)

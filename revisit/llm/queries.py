@@ -81,23 +81,28 @@ def op3_snapshots(spark, folder):
 # Lines and their variants as lists of words, in place of hashes and halves. A place in the corpus
 # is one number: doc_id * 2**24 + line.
 _LINES = """
-    WITH line AS (
+    WITH split AS (
       SELECT doc_id, i - 1 AS pos, regexp_extract_all(lower(s), '[^\\x20\\x09-\\x0D]+') AS w
       FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS s,
                    generate_subscripts(str_split(text, chr(10)), 1) AS i FROM documents)),
-    long_line AS (SELECT doc_id, pos, doc_id * 16777216 + pos AS place, w FROM line WHERE len(w) >= 5),
+    long_line AS (
+      SELECT doc_id, pos, doc_id * 16777216 + pos AS place,
+             CASE WHEN len(w) = 1 AND length(w[1]) >= 20
+                  THEN list_concat(['', ''], regexp_extract_all(w[1], '.')) ELSE w END AS w
+      FROM split WHERE len(w) > 0),
     distinct_line AS (SELECT w, min(place) AS place FROM long_line GROUP BY w),
+    near_line AS (SELECT * FROM distinct_line WHERE len(w) >= 5),
     variant AS (
       SELECT w, place, p, list_concat(w[1:p - 1], w[p + 1:]) AS v
-      FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS p FROM distinct_line)),
+      FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS p FROM near_line)),
     partner AS (
       SELECT w, min(other) AS partner FROM (
         SELECT a.w, b.place AS other FROM variant a
         JOIN variant b ON a.p = b.p AND a.v = b.v AND b.place < a.place
         UNION ALL
-        SELECT a.w, d.place FROM variant a JOIN distinct_line d ON a.v = d.w AND d.place < a.place
+        SELECT a.w, d.place FROM variant a JOIN near_line d ON a.v = d.w AND d.place < a.place
         UNION ALL
-        SELECT d.w, b.place FROM distinct_line d JOIN variant b ON d.w = b.v AND b.place < d.place)
+        SELECT d.w, b.place FROM near_line d JOIN variant b ON d.w = b.v AND b.place < d.place)
       GROUP BY w)
     SELECT l.doc_id, l.pos AS line, coalesce(partner, d.place) // 16777216 AS kept_doc_id,
            coalesce(partner, d.place) % 16777216 AS kept_line, partner IS NULL AS exact

@@ -4,6 +4,8 @@ from collections import Counter
 from fixtures_llm import WORD
 
 from oracle import connect, difference
+from revisit.llm import line_dedup
+from revisit.llm.copies import marks, split_by_marks
 from revisit.llm.line_dedup import repeated_lines, without_repeated_lines
 from revisit.llm.queries import LLM_ORACLES, LLM_QUERIES
 
@@ -22,7 +24,9 @@ def expected(pairs, min_words):
     for k, t in pairs:
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
             words = tuple(WORD.findall(line.lower()))
-            if len(words) >= min_words:
+            if len(words) == 1 and len(words[0]) >= 20:
+                words = ("", "", *words[0])
+            if words:
                 lines.append(((k is not None, k or 0, i), words))
     lines.sort()
     first = {}
@@ -30,7 +34,10 @@ def expected(pairs, min_words):
         first.setdefault(words, place)
     made = {}
     for place, words in lines:
-        near = [p for w, p in first.items() if w != words and p < first[words] and one_edit(w, words)]
+        near = [
+            p for w, p in first.items()
+            if min(len(w), len(words)) >= min_words and w != words and p < first[words] and one_edit(w, words)
+        ]
         if near:
             made[place] = (*min(near), False)
         elif place != first[words]:
@@ -79,10 +86,41 @@ def test_odd_rows_and_new_texts(docs_of):
     assert made[None].text == "a b c d q" and made[1].text == "short\n" and made[5].text == "x\nlast"
     assert made[7].text == "keep me here as well" and made[7].n_chars == 20
     assert made[2].text is None and made[3].text == "" and made[4].text == "\n\n"
-    assert made[8].text == "short\nshort" and without_repeated_lines(docs).schema.names == docs.schema.names
+    assert made[8].text == "" and without_repeated_lines(docs).schema.names == docs.schema.names
     assert repeated_lines(docs.limit(0)).count() == without_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_without_spaces(docs_of):
+    chinese = "这是一个没有空格的长句子它在许多文件中重复出现"
+    emoji = "😀😁😂🤣😃😄😅😆😉😊😋😎😍😘😗😙😚🙂🤗🤩"
+    pairs = [
+        (1, chinese), (2, chinese[:7] + "三" + chinese[8:]), (3, chinese[1:]), (4, chinese), (5, chinese[3:]),
+        (6, emoji), (7, emoji[:-1] + "🧐"), (8, " ".join("abcdefghijklmnopqrst")), (9, "abcdefghijklmnopqrst"),
+        (10, "short"), (11, "shore"), (12, "Short"), (13, "abcdefghijklmnopqrsu " + chinese),
+    ]
+    wanted = expected(pairs, 5)
+    assert {k for k, _ in wanted} == {2, 3, 4, 7, 12}
+    assert found(docs_of(pairs), 5) == Counter((k, i, *v) for (k, i), v in wanted.items())
+
+
+def test_many_near_lines_are_joined_by_marked_documents(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 3)
+    pairs = [(k, f"line of words number {k % 9} here\nalone {k} {k * 7} x{k} y{k}") for k in range(60)] + [(None, None)]
+    wanted = expected(pairs, 5)
+    assert found(docs_of(pairs), 5) == Counter((k, i, *v) for (k, i), v in wanted.items())
+
+
+def test_marks_miss_nothing(spark):
+    keys = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    marked = marks(keys.union(spark.sql("SELECT CAST(NULL AS BIGINT)")), "k")
+    rows = spark.range(5000).selectExpr("id AS doc", "'x' AS mark_bits").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'y'"))
+    touched, rest = split_by_marks(rows, "doc", marked)
+    assert touched.columns == rest.columns == ["doc", "mark_bits"]
+    held = {r.doc for r in touched.collect()}
+    assert {None, *range(0, 5000, 7)} <= held and len(held) < 1000
+    assert touched.count() + rest.count() == 5001
+
+
 def test_repeated_rows_are_one_place(docs_of):
     docs = docs_of([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")])
     assert found(docs, 5) == Counter({(2, 0, 1, 0, True): 1})

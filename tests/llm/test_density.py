@@ -78,6 +78,41 @@ def test_names_and_links_inside_an_article():
     assert main_text(page).split("\n\n") == ["Related work", A, "Policy", B_TEXT, C, *listed, *cities]
 
 
+def test_form_or_named_box_around_the_page():
+    text = f"<h1>Title</h1><p>{A}</p><p>{B}</p><p>{C}</p>"
+    for box in ('<form id="aspnetForm"><input type=hidden>', '<div class="content widget">', '<div id="modal">'):
+        page = f"<body><nav>{MENU}</nav>{box}<div>{text}</div></body>"
+        assert main_text(page).split("\n\n") == ["Title", A, B_TEXT, C], box
+    comments = f'<body><div><p>{A}</p></div><div class="comments">{text * 9}</div></body>'
+    assert main_text(comments) == A
+    login = "<body><form>Name <input> Word <input> <button>Go</button></form></body>"
+    assert main_text(login) == ""
+    beside = f"<body><div>{text}</div><form><p>Your name and address</p><input></form></body>"
+    assert main_text(beside).split("\n\n") == ["Title", A, B_TEXT, C]
+
+
+def test_heading_before_the_text():
+    text = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+    for box in ("div", "article"):
+        page = f"<body><header><h1>Site</h1></header><h1>A title</h1><div>{MENU}</div><{box}>{text}</{box}></body>"
+        assert main_text(page).split("\n\n") == ["A title", A, B_TEXT, C]
+    near = f"<body><div><h2>Menu</h2>{MENU}</div><h2>A title</h2><article>{text}</article></body>"
+    assert main_text(near).split("\n\n") == ["A title", A, B_TEXT, C]
+    far = f"<body><h1><a href=/>Site</a></h1><div><h2>Old</h2> log in</div><article>{text}</article></body>"
+    assert main_text(far).split("\n\n") == [A, B_TEXT, C]
+
+
+def test_bare_text_around_the_text():
+    page = f"<body>Log in<div>{MENU}</div>{A} <b>Really.</b><div><p>{A}</p><p>{B}</p><p>{C}</p></div>{C}</body>"
+    assert main_text(page).split("\n\n") == [f"{A} Really.", A, B_TEXT, C, C]
+
+
+def test_paragraphs_named_as_adverts():
+    page = f"""<article><p>{A}</p><p class="advert">Buy this.</p><p>{B} <span class="ad">Buy!</span></p>
+      <p class="add-on">{C}</p></article>"""
+    assert main_text(page).split("\n\n") == [A, B_TEXT, C]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 30_000 + "text" + "</div>" * 30_000
     pages = [

@@ -15,6 +15,7 @@ from revisit.operators.evaluate import evaluate
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
 from revisit.operators.split import matured, temporal_split
 from revisit.plans.durable import durable
+from revisit.plans.extra_trees import ExtraTrees
 from revisit.plans.features import FeaturePipeline, FeatureSettings
 from revisit.plans.sparse import SparseFeatures, load_features
 from revisit.schema import CLIENT_KEY, MASTER
@@ -44,6 +45,11 @@ def alternative_forest(hyperparams: Mapping | None = None) -> Estimator:
     return forest(hyperparams, ALTERNATIVE_TREES)
 
 
+def extra_trees(hyperparams: Mapping | None = None, trees: int = DEFAULT_TREES) -> Estimator:
+    """Extremely randomised trees. ``hyperparams`` are ExtraTrees parameters."""
+    return ExtraTrees(**{"numTrees": trees, **(hyperparams or {})})
+
+
 def ridge(strength: float = 1.0, solver: str = "auto") -> Estimator:
     """Linear regression with an L2 penalty.
 

@@ -98,7 +98,7 @@ def test_heading_before_the_text():
         assert main_text(page).split("\n\n") == ["A title", A, B_TEXT, C]
     near = f"<body><div><h2>Menu</h2>{MENU}</div><h2>A title</h2><article>{text}</article></body>"
     assert main_text(near).split("\n\n") == ["A title", A, B_TEXT, C]
-    far = f"<body><h1><a href=/>Site</a></h1><div><h2>Old</h2> log in</div><article>{text}</article></body>"
+    far = f"<body><h1><a href=/>Site</a></h1><div><h2>Menu</h2>{MENU}</div><article>{text}</article></body>"
     assert main_text(far).split("\n\n") == [A, B_TEXT, C]
 
 

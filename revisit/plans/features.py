@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from revisit.operators.consolidate import Consolidation
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy, split_by_heat
 from revisit.operators.pivot import MAX_CATEGORIES
 from revisit.operators.timeline import valid_events
+from revisit.plans.durable import durable
 from revisit.plans.stages import (
     AlignSchema,
     AlignSchemaModel,
@@ -41,7 +42,7 @@ class FeatureSettings:
     strict_past: bool = False
     max_categories: int = MAX_CATEGORIES
     sparse: bool = False  # items in sparse vectors instead of columns, without ``max_categories``
-    extra_stages: Sequence[Transformer] = field(default_factory=list)
+    extra_stages: Sequence[Transformer | Estimator] = field(default_factory=list)
 
 
 @dataclass
@@ -82,7 +83,7 @@ class FeaturePipeline:
         s = settings or FeatureSettings()
         consolidation = Consolidation.fit(tables, as_of, s.encode_counts, s.max_categories)
         made = cls.unaligned(consolidation, tables, s)
-        rows = made.rows(tables, labelled=True, policy=policy)
+        rows = made.fit_rows(tables, s.extra_stages, policy)
         made.aligner = AlignSchema().fit(rows)
         return made, made.aligner.transform(label(rows))
 
@@ -90,7 +91,7 @@ class FeaturePipeline:
     def unaligned(
         cls, consolidation: Consolidation, tables: Mapping[str, DataFrame], s: FeatureSettings
     ) -> FeaturePipeline:
-        """All steps but the last, with the first event time learned."""
+        """All steps but the user's own and the last, with the first event time learned."""
         events = consolidation.bare_events(tables)
         return cls(
             consolidation=consolidation,
@@ -100,9 +101,29 @@ class FeaturePipeline:
             burst=BurstFeatures(breakDays=s.break_days).fit(events),
             weekly=WeeklyCounts(weeks=list(s.weeks), strictPast=s.strict_past),
             ever=CurrentEver(classes=list(s.split_classes)),
-            extra=list(s.extra_stages),
+            extra=[],
         )
 
+    def fit_rows(
+        self,
+        tables: Mapping[str, DataFrame],
+        stages: Sequence[Transformer | Estimator],
+        policy: HotPolicy = DEFAULT_POLICY,
+    ) -> DataFrame:
+        """The labelled training rows after the user's own stages, which become ``extra``.
+
+        Estimators among them are fitted in order, each on the rows that the stages before it make.
+        Those are written once for each estimator, which may read them as often as it likes.
+        """
+        rows = self.rows(tables, labelled=True, policy=policy)
+        for stage in stages:
+            if isinstance(stage, Estimator):
+                rows = durable(rows, "stage-rows")
+                stage = stage.fit(rows)
+            rows = stage.transform(rows)
+            self.extra.append(stage)
+        return rows
+
     @property
     def column_schema(self) -> list[str]:
         return self.aligner.schema()

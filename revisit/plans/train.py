@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from revisit.operators.evaluate import evaluate
 from revisit.operators.hot import DEFAULT_POLICY, HotPolicy
-from revisit.operators.split import matured, temporal_split
+from revisit.operators.split import matured, temporal_cut, temporal_split
 from revisit.plans.durable import durable
 from revisit.plans.extra_trees import ExtraTrees
 from revisit.plans.features import FeaturePipeline, FeatureSettings
@@ -142,6 +143,47 @@ def train(
     return _fit(features, matrix, learner, test, test_share, threshold, version, policy)
 
 
+def compare(
+    tables: Mapping[str, DataFrame],
+    as_of: str | datetime,
+    learners: Mapping[str, Estimator],
+    folds: int = 3,
+    settings: FeatureSettings | None = None,
+    threshold: float = 0.2,
+    policy: HotPolicy = DEFAULT_POLICY,
+) -> DataFrame:
+    """Learners by rolling origin: (fold, learner, training_rows, test_rows, test_begin, spearman, overlap).
+
+    The matured rows in (time, id) order are cut exactly into ``folds`` + 1 parts. In fold k each
+    learner is fitted to the first k parts and judged on the next one, as ``train`` judges. All folds
+    and learners read one written matrix. A learner that finds no week to judge has null metrics;
+    without matured rows there are no folds.
+    """
+    features, matrix = training_matrix(tables, as_of, settings, policy)
+    spark = matrix.sparkSession
+    cuts = [temporal_cut(matrix, MASTER, 1 - k / (folds + 1)) for k in range(1, folds + 1)]
+    by_client = replace(MASTER, entity=CLIENT_KEY)
+    narrow = [MASTER.event_id, MASTER.entity, MASTER.ts, CLIENT_KEY, "label", "prediction"]
+    made = []
+    for k, cut in enumerate(cuts, 1):
+        if cut is None:
+            continue
+        part, later = matrix.where(cut.before(MASTER)), matrix.where(~cut.before(MASTER))
+        if k < folds:
+            later = later.where(cuts[k].before(MASTER))
+        for name, learner in learners.items():
+            judge = fit_regressor(part, features.assembler(), learner)
+            scored = durable(judge.transform(later).select(*narrow), "scored")
+            metrics = evaluate(scored, by_client, threshold=threshold, policy=policy)
+            about = [F.lit(k).alias("fold"), F.lit(name).alias("learner"), F.lit(part.count()).alias("training_rows")]
+            about += [F.lit(scored.count()).alias("test_rows"), F.lit(cut.ts).cast("timestamp_ntz").alias("test_begin")]
+            made.append(metrics.select(*about, "spearman", "overlap"))
+    if not made:
+        kinds = "fold int, learner string, training_rows bigint, test_rows bigint, test_begin timestamp_ntz"
+        return spark.createDataFrame([], f"{kinds}, spearman double, overlap double")
+    return durable(reduce(DataFrame.union, made), "comparison")
+
+
 def _fit(features, matrix, learner, test, test_share, threshold, version, policy) -> Trained:
     by_client = replace(MASTER, entity=CLIENT_KEY)  # events without a client row are not judged
     metrics = None

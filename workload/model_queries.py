@@ -1,6 +1,6 @@
 """Feature matrix, alignment, splits, training, evaluation, flags, payloads and streams."""
 
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from revisit.functions import time as clock
@@ -21,7 +21,7 @@ from revisit.sources.payloads import (
     payload_tables,
     read_payloads,
 )
-from revisit.sources.sinks import score_rows, write_features, write_scores
+from revisit.sources.sinks import read_features, score_rows, update_features, write_features, write_scores
 from revisit.sources.tables import check_tables, children_of_events, parquet_tables
 from revisit.streaming.scoring import newest_scores, stream_scores
 from workload.domain import (
@@ -564,6 +564,78 @@ def alternative_forest_scores(spark, folder):
     return trained.model.predict(tables)
 
 
+@query("extra_trees_bounds", "SELECT count(*) AS events, 0::BIGINT AS outside, 0::BIGINT AS different FROM orders")
+def extra_trees_bounds(spark, folder):
+    """The default extra trees, saved and loaded: no score outside the labels, none that storage changes."""
+    path = new_path(spark, "model")
+    tables = domain_tables(spark, folder)
+    trained = training.train(tables, AS_OF, training.extra_trees())
+    trained.model.save(spark, path)
+    rows = trained.model.features.transform(tables)  # features once for both
+    again = training.ScoringModel.load(spark, path)
+    scored = trained.model.regressor.transform(rows).withColumnRenamed("prediction", "first")
+    low, high = trained.matrix.agg(F.min("label"), F.max("label")).first()
+    both = again.regressor.transform(scored.drop("features"))
+    return both.agg(
+        F.count("*").alias("events"),
+        F.count_if(~F.col("prediction").between(low - 1e-9, high + 1e-9)).alias("outside"),
+        F.count_if(~F.col("prediction").eqNullSafe(F.col("first"))).alias("different"),
+    )
+
+
+@query(
+    "ridge_coefficients",
+    """
+    WITH m AS (
+      SELECT avg(l_quantity) AS a1, avg(l_discount) AS a2, avg(l_extendedprice) AS ay,
+             stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, stddev_pop(l_extendedprice) AS sy,
+             corr(l_quantity, l_discount) AS r, corr(l_quantity, l_extendedprice) AS r1,
+             corr(l_discount, l_extendedprice) AS r2
+      FROM lineitem),
+    k AS (SELECT *, 1 + 250 / sy AS d FROM m),
+    b AS (SELECT *, (d * r1 - r * r2) / (d * d - r * r) * sy / s1 AS b1,
+                 (d * r2 - r * r1) / (d * d - r * r) * sy / s2 AS b2 FROM k)
+    SELECT round(b1, 5) AS quantity, round(b2, 5) AS discount, round(ay - b1 * a1 - b2 * a2, 4) AS intercept FROM b""",
+)
+def ridge_coefficients(spark, folder):
+    """The ridge learner on two features, against the closed form on standardised columns."""
+    rows = table(spark, folder, "lineitem").select(
+        *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount")],
+        F.col("l_extendedprice").cast("double").alias("label"),
+    )
+    vectors = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features")
+    fitted = training.fit_regressor(rows, [vectors], training.ridge(250.0)).stages[-1]
+    quantity, discount = fitted.coefficients.toArray().tolist()
+    made = [(quantity, discount, fitted.intercept)]
+    return spark.createDataFrame(made, "quantity double, discount double, intercept double").select(
+        F.round("quantity", 5).alias("quantity"), F.round("discount", 5).alias("discount"),
+        F.round("intercept", 4).alias("intercept"),
+    )
+
+
+@query(
+    "model_folds",
+    """
+    WITH m AS (
+      SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n
+      FROM orders WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY),
+    c AS (SELECT k, CAST(floor(k * (max(n) - 1) / 4.0) AS BIGINT) AS place, max(n) AS n
+          FROM m, range(1, 4) r(k) GROUP BY k)
+    SELECT CAST(k AS INT) AS fold, learner, place AS training_rows,
+           coalesce(lead(place) OVER (PARTITION BY learner ORDER BY k), n) - place AS test_rows,
+           CAST((SELECT o_orderdate FROM m WHERE i = place) AS TIMESTAMP) AS test_begin, true AS judged
+    FROM c, (VALUES ('ridge'), ('strong ridge')) l(learner)""",
+)
+def model_folds(spark, folder):
+    """Two learners by rolling origin: where the folds lie, and that all were judged."""
+    learners = {"ridge": training.ridge(0.1), "strong ridge": training.ridge(10.0)}
+    made = training.compare(domain_tables(spark, folder), AS_OF, learners)
+    return made.select(
+        "fold", "learner", "training_rows", "test_rows", "test_begin",
+        (F.col("spearman").isNotNull() & F.col("overlap").isNotNull()).alias("judged"),
+    )
+
+
 @query("ridge_scores")
 def ridge_scores(spark, folder):
     tables = domain_tables(spark, folder)
@@ -682,6 +754,28 @@ def feature_table_by_month(spark, folder):
     return back.select(MASTER.event_id, F.date_format("month", "yyyy-MM").alias("month"), "price")
 
 
+@query(
+    "feature_table_updates",
+    """
+    SELECT o_orderkey AS referral_referralinstanceid, strftime(o_orderdate, '%Y-%m') AS month,
+           CAST(o_totalprice AS DOUBLE) AS price FROM orders""",
+)
+def feature_table_updates(spark, folder):
+    """A feature table that is brought up to date: wrong prices, wrong months and missing events mended."""
+    path = new_path(spark, "feature-table")
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(MASTER.event_id), F.col("o_orderdate").cast("timestamp_ntz").alias(MASTER.ts),
+        F.col("o_totalprice").cast("double").alias("price"),
+    )
+    late = F.col(MASTER.ts) >= F.lit("1997-06-01").cast("timestamp_ntz")
+    moved = late & (F.col(MASTER.event_id) % 3 == 0)
+    old = rows.withColumn(MASTER.ts, F.when(moved, F.expr(f"{MASTER.ts} + INTERVAL '400' DAY")).otherwise(F.col(MASTER.ts)))
+    old = old.withColumn("price", F.when(late, F.col("price") + 1).otherwise(F.col("price")))
+    write_features(old.where(~late | (F.col(MASTER.event_id) % 4 < 2)), path)
+    update_features(rows.where(late), path)
+    return read_features(spark, path).select(MASTER.event_id, "month", "price")
+
+
 @query(
     "score_files",
     "SELECT o_orderkey AS referralinstanceid, CAST(o_totalprice AS DOUBLE) AS score, '7' AS model_version FROM orders",
@@ -745,6 +839,27 @@ def own_stage(spark, folder):
     return rows.select(MASTER.event_id, *[F.col(c).cast("double").alias(c) for c in own])
 
 
+@query(
+    "own_fitted_stage",
+    """
+    WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice / 50000) AS DOUBLE) AS size FROM orders),
+    m AS (SELECT avg(size) AS mean FROM s WHERE size <> 2)
+    SELECT o_orderkey AS referral_referralinstanceid, CASE WHEN size = 2 THEN mean ELSE size END AS own_filled,
+           10 * CASE WHEN size = 2 THEN mean ELSE size END AS own_tenfold
+    FROM s, m""",
+)
+def own_fitted_stage(spark, folder):
+    """Own stages that are fitted in order, inside the feature pipeline and through storage."""
+    path = new_path(spark, "features")
+    tables = domain_tables(spark, folder)
+    size = SQLTransformer(statement="SELECT *, CAST(referral_householdsize AS DOUBLE) AS own_size FROM __THIS__")
+    filled = Imputer(inputCols=["own_size"], outputCols=["own_filled"], missingValue=2.0)
+    tenfold = SQLTransformer(statement="SELECT *, 10 * own_filled AS own_tenfold FROM __THIS__")
+    FeaturePipeline.fit(tables, AS_OF, FeatureSettings(extra_stages=[size, filled, tenfold])).save(spark, path)
+    rows = FeaturePipeline.load(spark, path).transform(tables)
+    return rows.select(MASTER.event_id, "own_filled", "own_tenfold")
+
+
 @query(
     "items_seen",
     """

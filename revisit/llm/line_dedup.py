@@ -20,6 +20,7 @@ def _with_units(lines: DataFrame) -> DataFrame:
 
     These are the line's words in lower case. A line without spaces is as many units as it has
     characters, if it is long; two empty units in front keep it apart from lines of words.
+    The array is exploded from an array of one, so that filters on it do not split lines again.
     """
     others = [c for c in lines.columns if c != "line"]
     line = F.lower("line")
@@ -28,7 +29,7 @@ def _with_units(lines: DataFrame) -> DataFrame:
     # Most lines have a space and are not matched; a line is split one way only.
     long_word = ~F.contains(F.trim("line"), F.lit(" ")) & line.rlike(_ONE_LONG_WORD)
     units = F.when(long_word, F.concat(F.array(F.lit(""), F.lit("")), characters)).otherwise(words)
-    return lines.select(*others, units.alias("words"))
+    return lines.select(*others, F.explode(F.array(units)).alias("words"))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -24,6 +24,8 @@ from revisit.sources.payloads import (
 from revisit.sources.sinks import read_features, score_rows, update_features, write_features, write_scores
 from revisit.sources.tables import check_tables, children_of_events, parquet_tables
 from revisit.streaming.scoring import newest_scores, stream_scores
+from revisit.streaming.thresholds import rank_error
+from revisit.streaming.thresholds import stream_flags as flag_stream
 from workload.domain import (
     AS_OF,
     CHILD_ITEMS,
@@ -718,6 +720,54 @@ def stream_equivalence(spark, folder):
     return made
 
 
+@query(
+    "stream_flags",
+    f"""
+    WITH r AS (
+      SELECT o_orderkey % 3 AS part,
+             CASE WHEN historical_score <> 0
+                  THEN o_totalprice / 1000000.0::DOUBLE * 100 / historical_score END AS score_ratio
+      FROM ({_BACK}) b JOIN orders USING (o_orderkey))
+    SELECT part, count(*) AS events, sum(count(score_ratio)) OVER (ORDER BY part)::BIGINT AS gathered,
+           TRUE AS rank_in_bound, 0::BIGINT AS wrong_flags
+    FROM r GROUP BY part""",
+)
+def stream_flags(spark, folder):
+    """Score ratios arriving in three parts, each flagged by the sketch of all up to it.
+
+    ``rank_in_bound``: the exact rank of each threshold is within twice the stated error (which has
+    99 % confidence) of nine tenths.
+    """
+    base = new_path(spark, "flag-stream")
+    rated = support_flags(_predicted(spark, folder), orders(spark, folder), ORDERS, threshold=0.0)
+    part = (F.col("o_orderkey") % 3).cast("bigint").alias("part")
+    rated = durable(rated.select("o_orderkey", "score_ratio", part), "ratios")
+    for p in range(3):
+        rated.where(F.col("part") == p).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(rated.schema).parquet(f"{base}/in")
+        flag_stream(arriving, f"{base}/out", f"{base}/state").awaitTermination()
+    flagged = spark.read.parquet(f"{base}/out")
+    over = F.coalesce(F.col("score_ratio") > F.col("threshold"), F.lit(False))
+    parts = flagged.groupBy("part").agg(
+        F.count("*").alias("events"), F.max("threshold").alias("limit"),
+        F.count_if(F.col("flagged") != over).alias("wrong_flags"),
+    )
+    # Three rows of limits against every ratio that had arrived by then.
+    ranks = F.broadcast(parts.select(F.col("part").alias("upto"), "limit")).join(
+        rated.where("score_ratio IS NOT NULL"), F.col("part") <= F.col("upto")
+    )
+    ranks = ranks.groupBy("upto").agg(
+        F.count("*").alias("gathered"),
+        (F.count_if(F.col("score_ratio") < F.col("limit")) / F.count("*")).alias("below"),
+        (F.count_if(F.col("score_ratio") <= F.col("limit")) / F.count("*")).alias("upto_limit"),
+    )
+    error = 2 * rank_error()
+    met = (F.col("below") <= 0.9 + error) & (F.col("upto_limit") >= 0.9 - error)
+    return parts.join(ranks, F.col("part") == F.col("upto")).select(
+        "part", "events", "gathered", met.alias("rank_in_bound"), "wrong_flags"
+    )
+
+
 @query(
     "saved_model_equivalence",
     "SELECT count(*) AS events, 0::BIGINT AS different FROM orders",

@@ -752,9 +752,10 @@ def stream_flags(spark, folder):
         F.count("*").alias("events"), F.max("threshold").alias("limit"),
         F.count_if(F.col("flagged") != over).alias("wrong_flags"),
     )
-    # Three rows of limits against every ratio that had arrived by then.
-    ranks = F.broadcast(parts.select(F.col("part").alias("upto"), "limit")).join(
-        rated.where("score_ratio IS NOT NULL"), F.col("part") <= F.col("upto")
+    # Every ratio against the limits of its own and of later parts: three rows at most.
+    later = F.explode(F.sequence("part", F.lit(2).cast("bigint"))).alias("upto")
+    ranks = rated.where("score_ratio IS NOT NULL").select("score_ratio", later).join(
+        F.broadcast(parts.select(F.col("part").alias("upto"), "limit")), "upto"
     )
     ranks = ranks.groupBy("upto").agg(
         F.count("*").alias("gathered"),

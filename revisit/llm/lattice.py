@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from revisit.llm.words import BYTE_BASES, mix, powers, rolling, text_slices
+from revisit.llm.words import BYTE_BASES, mix, rolling, text_slices
 
 SPACE = "▁"  # how pieces spell a space
 _DECODED = 1 << 20  # about so many ids are decoded at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STRETCH = 512  # places of the trie that are tried at a time
 
 
 class Pieces:
-    """A piece vocabulary as tables of bytes: surfaces of ids, and a hashed trie of all surfaces.
+    """A piece vocabulary as tables of bytes: surfaces of ids, and a trie of all surfaces.
 
     The public vocabulary ranks its pieces instead of giving probabilities, so a piece's weight is
     Zipf's law of its rank: -log(rank + 3). Byte tokens and pieces without a rank (runs of spaces)
@@ -51,31 +52,40 @@ class Pieces:
         self.ends = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
         self.longest = max(map(len, known))
-        parts = list(known)
-        lengths = np.array([len(p) for p in parts])
-        ends = np.cumsum(lengths)
-        hashes = _Hashes(np.frombuffer(b"".join(parts), np.uint8))
-        first, second = (hashes.of(k, ends - lengths, ends) for k in (0, 1))
-        order = np.argsort(first)
-        self.first, self.second = first[order], second[order]
-        self.id = np.array([known[p] for p in parts], np.int32)[order]
-
-
-class _Hashes:
-    """Two rolling hashes of any stretch of some bytes."""
-
-    def __init__(self, data: np.ndarray):
-        values = data.astype(np.uint64) + np.uint64(1)
-        self.parts = []
-        for base in BYTE_BASES:
-            up, down = powers(base, len(data) + 1)
-            prefix = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(values * up[: len(data)], out=prefix[1:])
-            self.parts.append((prefix, down))
-
-    def of(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        prefix, down = self.parts[which]
-        return mix((prefix[end] - prefix[begin]) * down[begin])
+        self._lay_out(known)
+
+    def _lay_out(self, known: dict[bytes, int]) -> None:
+        """The trie of ``known`` as a double array: place 0 is the root, and the child of place ``s``
+        by byte ``b`` is place ``base[s] + b``, if its ``parent`` is ``s``."""
+        children: dict[bytes, list[int]] = {}
+        for part in known:
+            children.setdefault(part[:-1], []).append(part[-1])
+        taken = np.zeros(256 * (len(children) + 3) + _STRETCH, bool)
+        shift: dict[bytes, int] = {}
+        size, at = 0, 256
+        for part, after in sorted(children.items(), key=lambda x: -len(x[1])):
+            if len(after) != size:
+                size, at = len(after), 256
+            low = min(after)
+            while True:  # first fit in stretches, on from that of the last node of as many children
+                fits = ~taken[at : at + _STRETCH]
+                for b in after:
+                    if b != low:
+                        fits &= ~taken[at + b - low : at + b - low + _STRETCH]
+                if fits.any():
+                    break
+                at += _STRETCH
+            at += int(np.argmax(fits))
+            shift[part] = at - low
+            taken[[at + b - low for b in after]] = True
+        place = {part: shift[part[:-1]] + part[-1] for part in known} | {b"": 0}
+        size = int(np.flatnonzero(taken)[-1]) + 257
+        self.base, self.id = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.parent = np.full(size, -1, np.int32)
+        for part, i in known.items():
+            self.parent[place[part]], self.id[place[part]] = place[part[:-1]], i
+        for part, at in shift.items():
+            self.base[place[part]] = at
 
 
 @cache
@@ -93,73 +103,81 @@ class Lattices:
 
     def __init__(self, pieces: Pieces, power: float, data: np.ndarray, size: np.ndarray):
         """``data``: the bytes of all units one after the other; ``size``: how many of each."""
+        # Nodes are numbered by their distance from the start of their unit, of equal distance by unit,
+        # longest first; level[d] is the first node of distance d. So what has an arc to a node lies before it.
+        rank = np.empty(len(size), np.int32)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        level = np.concatenate([[0], np.cumsum(np.cumsum(np.bincount(size)[::-1])[::-1])])
+        self.last = level[size] + rank
+        low = np.int32 if level[-1] < 1 << 31 else np.int64
+        level, row = level.astype(low), np.repeat(rank, size)
         ends = np.cumsum(size)
-        unit = np.repeat(np.arange(len(size)), size)
-        begin, end, token = self._arcs(pieces, data, unit, ends)
-        # Nodes: one more than bytes in each unit.
-        self.first = ends - size + np.arange(len(size))
-        self.last = self.first + size
-        came, went = begin + unit[begin], end + unit[begin]
-        order = np.argsort(went, kind="stable")
-        came, went, token = came[order], went[order], token[order]
-        weight = power * pieces.weight[token]
-        group = np.flatnonzero(np.concatenate([[True], went[1:] != went[:-1]])) if len(went) else went
-        # Forward filtering: all nodes with the same distance from the start of their unit at once.
-        node = went[group]
-        count = np.diff(np.append(group, len(went)))
-        away = node - np.repeat(self.first, size + 1)[node]
-        total = np.zeros(len(data) + len(size))
-        share = np.zeros(len(went))
-        by_distance = np.argsort(away, kind="stable")
-        bounds = np.flatnonzero(np.concatenate([[True], np.diff(away[by_distance]) > 0, [True]])) if len(away) else []
+        away = np.arange(len(data), dtype=low) - np.repeat((ends - size).astype(low), size)
+        # No two pieces of a length end at one node, so arcs find their places without a sort.
+        count = np.zeros(level[-1], np.int32)
+        found = []
+        for begin, n, token in self._pieces_in(pieces, data, np.repeat(ends.astype(low), size)):
+            came, went = level[away[begin]] + row[begin], level[away[begin] + n] + row[begin]
+            found.append((came, went, count[went], token))
+            count[went] += 1
+        before = np.cumsum(count) - count
+        self.came, self.token = (np.empty(int(count.sum()), kind) for kind in (low, np.int32))
+        while found:
+            came, went, earlier, token = found.pop()
+            place = before[went] + earlier
+            self.came[place], self.token[place] = came, token
+        # Forward filtering: all nodes of a distance at once.
+        self.has_arc = count > 0
+        node = np.flatnonzero(self.has_arc)
+        group, count = before[node], count[node]
+        total = np.zeros(len(before))
+        share = np.empty(len(self.came))
+        bounds = np.searchsorted(node, level).tolist()
         for a, b in zip(bounds[:-1], bounds[1:]):
-            now = by_distance[a:b]
-            n = count[now]
-            at = np.cumsum(n) - n
-            arcs = np.repeat(group[now] - at, n) + np.arange(int(n.sum()))
-            score = total[came[arcs]] + weight[arcs]
-            top = np.maximum.reduceat(score, at)
-            part = np.exp(score - np.repeat(top, n))
-            whole = np.add.reduceat(part, at)
-            total[node[now]] = top + np.log(whole)
-            share[arcs] = part / np.repeat(whole, n)
-        run = np.cumsum(share)
-        before = np.repeat((run - share)[group], count) if len(group) else run
-        self.upto = went + np.minimum(run - before, 1.0)
-        self.upto[np.append(group[1:], len(went))[: len(group)] - 1] = node + 1.0
-        self.came, self.token = came, token
-        self.has_arc = np.zeros(len(total), bool)
-        self.has_arc[node] = True
+            if a < b:
+                arcs, at, n = slice(group[a], group[b - 1] + count[b - 1]), group[a:b] - group[a], count[a:b]
+                score = total[self.came[arcs]] + power * pieces.weight[self.token[arcs]]
+                top = np.maximum.reduceat(score, at)
+                score -= np.repeat(top, n)
+                np.exp(score, out=score)
+                whole = np.add.reduceat(score, at)
+                total[node[a:b]] = top + np.log(whole)
+                np.divide(score, np.repeat(whole, n), out=share[arcs])
+        self.upto = np.cumsum(share)
+        self.upto -= np.repeat((self.upto - share)[group], count)
+        np.minimum(self.upto, 1.0, out=self.upto)
+        self.upto[group + count - 1] = 1.0
+        self.upto += np.repeat(node, count)
 
     @staticmethod
-    def _arcs(pieces: Pieces, data, unit, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, id) of all pieces in the units, and of the bytes of characters without one."""
-        hashes = _Hashes(data)
+    def _pieces_in(pieces: Pieces, data, end) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(begins, length, ids) of all pieces in the units, and of the bytes of characters without one.
+
+        ``end`` is where the unit of each byte ends.
+        """
         lead = (data & 0xC0) != 0x80
-        lead[np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])]] = True
-        start = np.flatnonzero(lead)
+        lead[0] = True
+        lead[1:] |= end[1:] != end[:-1]
+        start = np.flatnonzero(lead).astype(end.dtype)
         width = np.diff(np.append(start, len(data)))
-        room = ends[unit[start]] - start
+        room = end[start] - start
         spelled = np.zeros(len(start), bool)
-        found = []
         alive = np.arange(len(start))
+        state = np.zeros(len(start), np.int32)
         for n in range(1, pieces.longest + 1):
-            alive = alive[room[alive] >= n]
+            fits = room[alive] >= n
+            alive, state = alive[fits], state[fits]
             if not len(alive):
                 break
-            at = start[alive]
-            key = hashes.of(0, at, at + n)
-            place = np.minimum(np.searchsorted(pieces.first, key), len(pieces.first) - 1)
-            same = pieces.first[place] == key
-            alive, at, place = alive[same], at[same], place[same]
-            same = pieces.second[place] == hashes.of(1, at, at + n)
-            alive, at, token = alive[same], at[same], pieces.id[place[same]]
+            after = pieces.base[state] + data[start[alive] + (n - 1)]
+            same = pieces.parent[after] == state
+            alive, state = alive[same], after[same]
+            token = pieces.id[state]
             whole = token >= 0
             spelled[alive[whole & (width[alive] == n)]] = True
-            found.append((at[whole], at[whole] + n, token[whole]))
-        rest = np.flatnonzero(~np.repeat(spelled, width))
-        found.append((rest, rest + 1, pieces.byte_id[data[rest]]))
-        return tuple(map(np.concatenate, zip(*found)))
+            yield start[alive[whole]], n, token[whole]
+        rest = np.flatnonzero(~np.repeat(spelled, width)).astype(end.dtype)
+        yield rest, 1, pieces.byte_id[data[rest]]
 
     def sample(self, lattice: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One segmentation per unit, walked from its end: all ids, and the number of each unit.
@@ -167,7 +185,9 @@ class Lattices:
         ``lattice`` is the lattice of each unit, ``seed`` decides its draws.
         """
         units, steps, ids = [], [], []
-        at, unit, step = self.last[lattice], np.arange(len(lattice)), 0
+        at, step = self.last[lattice], 0
+        unit = np.argsort(at, kind="stable")  # in the order in which memory has the arcs
+        at = at[unit]
         while len(unit):
             draw = mix(seed[unit] + mix(np.full(len(unit), step + 1, np.uint64) * _STEP))
             u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -256,7 +276,7 @@ def encode_sampled(
     names = list(dict.fromkeys([key, *carry]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text to encode", 1 << 20):
+        for part in text_slices(batches, "text to encode", 1 << 19):
             raw = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
             seeds = row_seeds(part.column(0).to_pylist(), seed)
             raw = [t or b"" for t in raw]

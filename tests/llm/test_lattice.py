@@ -1,4 +1,6 @@
 import math
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -83,3 +85,45 @@ def test_odd_rows(spark, docs_of):
     assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) for r in made)
     assert len({tuple(r.ids) for r in made if r.doc_id == 1}) == 1
     assert decoded(encode_sampled(docs.limit(0))).count() == 0
+
+
+def _distinct_words():
+    """Half a megabyte of text, nearly all of it words that occur once."""
+    letters = np.random.default_rng(5).integers(97, 123, (60_000, 9)).astype(np.uint8)
+    letters[:, 8] = 32
+    return [part.tobytes() for part in np.split(letters, 60)]
+
+
+def test_the_trie_holds_every_piece_and_no_other():
+    pieces = Pieces(PATH)
+    surface = [pieces.bytes[a:b].tobytes() for a, b in zip(pieces.ends[259:-1], pieces.ends[260:])]
+    for piece in filter(None, surface):
+        place = 0
+        for b in piece:
+            after = pieces.base[place] + b
+            assert pieces.parent[after] == place
+            place = after
+        assert surface[pieces.id[place] - 259] == piece
+    assert np.count_nonzero(pieces.id >= 0) == len(set(filter(None, surface)))
+
+
+def test_time_and_memory_of_a_slice():
+    texts, seeds = _distinct_words(), row_seeds(list(range(60)), 7)
+    encode(texts, seeds, PATH, 1.0)
+
+    def took(work):
+        at = time.thread_time()
+        work()
+        return time.thread_time() - at
+
+    numbers = np.random.default_rng(6).integers(0, 1 << 62, 1 << 20)
+    ratio = min(took(lambda: encode(texts, seeds, PATH, 1.0)) for _ in range(3)) / min(
+        took(lambda: np.sort(numbers, kind="stable")) for _ in range(3)
+    )
+    tracemalloc.start()
+    encode(texts, seeds, PATH, 1.0)
+    peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    tracemalloc.stop()
+    # The sorts and hashes of an earlier version took 7.7 times the yardstick and 267 bytes a byte of text;
+    # this one 2.8 times and 173.
+    assert ratio < 5 and peak < 220

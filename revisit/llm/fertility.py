@@ -183,7 +183,7 @@ def with_measures(
     names, schema = measures.names, StructType([*docs.schema.fields, StructField(into, measures)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text):
+        for part in text_slices(batches, text, 1 << 19):
             texts = part.column(part.schema.get_field_index(text)).cast(pa.large_string())
             made = pa.StructArray.from_arrays(measure(texts, piece_path, byte_path), names)
             yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, into])

@@ -60,7 +60,7 @@ def fingerprints(
     """(key, fp bigint): the fingerprint's bits as a signed number. One row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, size=1 << 19):
             fp = pa.array(fingerprint(part.column(1), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), fp], [key, "fp"])
 

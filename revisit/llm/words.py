@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,6 +109,13 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, np.flatnonzero(final) + 1, np.searchsorted(starts, bounds))
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)  # the C library keeps tens of megabytes of freed arrays
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
@@ -124,4 +133,4 @@ def text_slices(
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
-    pa.default_memory_pool().release_unused()  # idle workers give back what they can
+    give_back()

@@ -15,19 +15,28 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from revisit.llm.word_cache import WordCache
-from revisit.llm.words import text_slices, words_of
+from revisit.llm.words import Words, text_slices, words_of
 
 END_ID = 1
 _JOINED = 400  # words encoded in one call
 MOST_BROADCAST_FILES = 100_000
 
+# Kinds of bytes in words that are split: letters, digits, signs; zero in a word leaves it whole.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[ord("'")] = 0
+_LATIN = np.zeros(256, bool)  # second bytes of letters whose first is C3
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+
 
 class _WordEncoder:
     """Ids of words by a tokenizer that drops white space, many words in one call."""
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
-        # For words of lower-case ASCII letters: nothing to normalise, nothing to split.
+        # For words of lower-case letters up to U+00FF: nothing to normalise, nothing to split.
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
@@ -41,7 +50,7 @@ class _WordEncoder:
         made: list[list[int]] = [[]] * len(texts)
         plain, other, special = [], [], []
         for i, t in enumerate(texts):
-            simple = t.isascii() and t.isalpha() and t.islower()
+            simple = t.isalpha() and t.islower() and (t.isascii() or max(t) <= "\xff")
             (special if "<|" in t else plain if simple else other).append(i)
         # Such a word is one run of pieces that ends with an end-of-word piece.
         for part in _parts(plain):
@@ -71,6 +80,32 @@ def _parts(items: list[int]) -> Iterator[list[int]]:
         yield items[i : i + _JOINED]
 
 
+def _finer(words: Words) -> Words:
+    """``words``, those of ASCII characters and letters of Latin-1 cut where the tokenizer cuts them.
+
+    It takes letters and other signs apart and digits one by one, but contractions (with an
+    apostrophe) as they are; control characters and all others are left to it.
+    """
+    data, kind = words.data, _KIND[words.data]
+    begins = np.zeros(len(data), bool)
+    begins[words.starts] = True
+    # The letters from U+00C0 to U+00FF: two bytes, without the signs of multiplication and division.
+    letter = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]] & ~begins[1:])
+    kind[letter] = kind[letter + 1] = 1
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut &= ~begins
+    whole = np.concatenate([[0], np.cumsum(kind == 0)])
+    at = np.flatnonzero(cut)
+    word = np.searchsorted(words.starts, at, side="right") - 1
+    inside = word >= 0
+    at, word = at[inside], word[inside]
+    inside = (at < words.ends[word]) & (whole[words.ends[word]] == whole[words.starts[word]])
+    at, word = at[inside], word[inside]
+    starts, ends = (np.sort(np.concatenate([edge, at])) for edge in (words.starts, words.ends))
+    return Words(words.data, starts, ends, words.first + np.searchsorted(word, words.first))
+
+
 @cache
 def _word_cache(path: str) -> WordCache:
     return WordCache(_WordEncoder(path), 600_000)
@@ -82,6 +117,8 @@ def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray
     # spelling of a special token, so texts with one stay as they are.
     special = pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py()
     words = words_of(texts, lower=not special)
+    if not special:
+        words = _finer(words)
     store = _word_cache(path)
     place = store.places(words)
     size = np.concatenate([[0], np.cumsum(store.size[place])])

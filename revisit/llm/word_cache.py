@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -33,13 +34,13 @@ class WordCache:
         if len(self.place) + len(distinct) > self.limit:
             self._clear()
         hashes = distinct.tolist()
-        place = np.array([self.place.get(h, -1) for h in hashes], np.int64)
+        place = np.fromiter(map(self.place.get, hashes, repeat(-1)), np.int64, len(hashes))
         missing = np.flatnonzero(place < 0)
         if len(missing):
             texts = [words.word(i).decode("utf-8", "replace") for i in index[missing].tolist()]
             made = self.encode(texts)
             size = np.fromiter(map(len, made), np.int64, len(made))
-            ids = np.fromiter((i for one in made for i in one), np.int32, int(size.sum()))
+            ids = np.fromiter(chain.from_iterable(made), np.int32, int(size.sum()))
             at = len(self.ids) + np.cumsum(size) - size
             first = len(self.begin)
             self.begin = np.concatenate([self.begin, at])

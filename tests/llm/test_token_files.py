@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from revisit.llm.queries import LLM_QUERIES
+from revisit.llm import token_files
 from revisit.llm.token_files import END_ID, encode, read_tokens, with_crc32, write_tokens
 from revisit.plans.durable import scratch
 
@@ -73,3 +74,30 @@ def test_empty_table(spark, docs_of):
         assert with_crc32(read_tokens(spark, path)).count() == 0
     with pytest.raises(ValueError):
         write_tokens(docs_of([]), "nowhere", encoding="plain")
+
+
+SIGNS = [
+    "alpha alpha, (alpha). \"alpha\" ALPHA! al-pha a_b", "café; CAFÉ, «naïve» Straße. ÀÉ×÷éa ÿ÷, ×× ÷.", "don't, 'tis it's. 's",
+    "a1b22,3.4e5 1,000.00 v2.0-rc1", "x—,y …, a… ½, ª, º. µm, e\u0301, a\u0300b.c", "\x1fa,b c.\x7fd \x85.e f\u00a0,g",
+    "Šk, ŠŤ. İ, ΑΣ, σ. 漢字, かな. 😀, x😀,y", "a<|b ,<, |>", "é", ",é", "é,", " , ", "'",
+]
+
+
+def test_words_with_signs_equal_whole_texts():
+    model = Tokenizer.from_file(PATH)
+    draw = np.random.default_rng(3)
+    signs = list("abzéßÉ×,.-'1 \t—\u0301")
+    mixed = ["".join(draw.choice(signs, 30)) for _ in range(2_000)]
+    for texts in (SIGNS, mixed, *([t] for t in SIGNS)):
+        ids, ends = encode(pa.array(texts), PATH)
+        for text, part in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert part.tolist() == model.encode(text, add_special_tokens=False).ids + [END_ID]
+
+
+def test_a_word_is_encoded_once_whatever_signs_surround_it(monkeypatch):
+    seen, whole = [], token_files._WordEncoder.__call__
+    monkeypatch.setattr(token_files._WordEncoder, "__call__", lambda self, texts: seen.extend(texts) or whole(self, texts))
+    token_files._word_cache.cache_clear()
+    encode(pa.array(["Alpha alpha, (alpha). café; café, don't, 12"]), PATH)
+    token_files._word_cache.cache_clear()
+    assert sorted(seen) == sorted(["alpha", ",", "(", ").", "café", ";", "don't,", "1", "2"])

@@ -50,10 +50,13 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def durable_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back, and its path for ``forget``."""
+    """``df`` written to the shared folder and read back, and its path for ``forget``.
+
+    Copies may be as large as the input or larger, and several lie there at once: they are packed tightly.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,11 +2,12 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 
 from revisit.sources.json_array import json_objects, read_payload_array
-from revisit.sources.payloads import read_payloads
+from revisit.sources.payloads import payload_tables, read_payloads
 from test_pipeline import make_payload
 
 ODD = [
@@ -53,3 +54,20 @@ def test_same_payloads_as_the_whole_reader(spark, tmp_path, small_splits):
     path.write_text(json.dumps([make_payload(c, rng) for c in range(1, 5)]))
     whole = read_payloads(spark, str(path), multi_line=True)
     assert sorted(map(str, read_payload_array(spark, str(path)).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_text_is_copied_once_at_most(spark, tmp_path, small_splits):
+    """Objects of random text, many to a byte range: the copies together stay below the file's size."""
+    rng = random.Random(7)
+    kept = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(kept.iterdir())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    objects = [{"referral": [{"referralinstanceid": i, "referralnotes": rng.randbytes(60).hex()}]} for i in range(6000)]
+    path = tmp_path / "export.json"
+    path.write_text(json.dumps(objects))
+    found = payload_tables(read_payload_array(spark, str(path)))["referral"]
+    assert {(r.referralinstanceid, r.referralnotes) for r in found.collect()} == {
+        (o["referral"][0]["referralinstanceid"], o["referral"][0]["referralnotes"]) for o in objects
+    }
+    copies = sum(f.stat().st_size for d in set(kept.iterdir()) - before for f in d.rglob("*.parquet"))
+    assert copies < path.stat().st_size

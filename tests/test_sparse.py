@@ -1,6 +1,7 @@
 """Vocabularies as tables, and sparse vectors against the dense matrix."""
 
 import random
+import re
 
 import pytest
 from pyspark.ml.linalg import SparseVector
@@ -103,3 +104,18 @@ def test_no_plan_grows_with_the_vocabulary(spark, tables):
     assert fitted.size > 40_000 and len(fitted.scalar.column_schema) < 30
     assert len(fitted.entries(tables)._jdf.queryExecution().logical().toString()) < 200_000
     assert rows.count() == tables["referral"].count()
+
+
+def test_counts_move_once(spark):
+    """Counting by event, gathering an event's items and joins by event share one exchange."""
+    vocabulary = spark.createDataFrame(
+        [("a", "1", 3, 0, 1), ("a", "2", 1, 2, None)], "name STRING, item STRING, frequency LONG, place LONG, second LONG"
+    )
+    rows = [("a", 7, "1"), ("a", 7, "1"), ("a", 8, "1"), ("a", 8, "2"), ("a", 8, "unknown"), ("b", 8, "1")]
+    items = spark.createDataFrame(rows, "name STRING, key LONG, item STRING")
+    counted = SparseFeatures(None, vocabulary, 3, 4)._counted(items)
+    found = sorted((r.key, r.place, r.second, r.n) for r in counted.collect())
+    assert found == [(7, 0, 1, 2.0), (8, 0, 1, 1.0), (8, 2, None, 1.0)]
+    plan = counted.groupBy("key").count()._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert sum("key#" in d for d in dealt) == 1 and not any("place#" in d for d in dealt)
